@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from smoothspan.llm.chunk_bpe import digest_documents
+from smoothspan.llm.feistel_pii import pseudonymise
+from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
+from smoothspan.llm.zstd_language import fit_dictionaries, identify_languages
+
+#: The key of the registered query; a deployment passes its own.
+DEMO_KEY = b"smoothspan demonstration key"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -15,12 +22,45 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _fold(buckets: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets
+
+
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+
+
+def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = identify_languages(docs, fit_dictionaries(docs.where(_fold(4) != 2)))
+    return found.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = score_documents(docs, fit_toxicity(docs, labels.where(_fold(5) != 0)))
+    return found.select(
+        "doc_id",
+        (F.coalesce(_fold(5), F.lit(1)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "abusive",
+        "misspelled",
+        "quoted",
+    )
+
+
 def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
+    return digest_documents(_documents(spark, sf_dir), vocabulary_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_chunk_bpe": op10_chunk_bpe}
+    return {f.__name__: f for f in (op2_feistel_pseudonyms, op6_zstd_language, op9_lexicon_toxicity, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
