@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from smoothspan.llm.chunk_bpe import digest_documents
 from smoothspan.llm.feistel_pii import pseudonymise
 from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
+from smoothspan.llm.super_minhash import near_duplicates
 from smoothspan.llm.zstd_language import fit_dictionaries, identify_languages
 
 #: The key of the registered query; a deployment passes its own.
@@ -40,6 +41,12 @@ def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op8_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_documents(spark, sf_dir))
+    kept = F.coalesce(F.col("node") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("node").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -60,7 +67,7 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_feistel_pseudonyms, op6_zstd_language, op9_lexicon_toxicity, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op2_feistel_pseudonyms, op6_zstd_language, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,8 +31,9 @@ class ZstdSettings:
     sample_rows: int = 240
     sample_chars: int = 600
     dictionary_bytes: int = 112 << 10
-    block_bytes: int = 8 << 10
-    level: int = 1
+    block_bytes: int = 4 << 10
+    level: int = 5
+    min_match: int = 4
     min_margin: float = 0.01
 
 
@@ -51,10 +52,18 @@ def fit_dictionaries(
     found = texts.join(F.broadcast(picked), "id").where("lang is not null and text is not null").toPandas()  # bound: sample_rows per language
     out = {}
     for lang, part in found.sort_values(["lang", "id", "text"]).groupby("lang"):
-        out[str(lang)] = "\n".join(part["text"]).encode()[-settings.dictionary_bytes :]
+        out[str(lang)] = b" ".join(part["text"].map(letters_only))[-settings.dictionary_bytes :]
     return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 
+#: ASCII other than letters counts as a space.
+_BLANKS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
+
+
+def letters_only(text: str) -> bytes:
+    return text.lower().encode().translate(_BLANKS)
+
+
 class ZstdClassifier:
     def __init__(self, dictionaries: dict[str, bytes], settings: ZstdSettings):
         import zstandard as zstd
@@ -62,15 +71,25 @@ class ZstdClassifier:
         self.settings = settings
         self.langs = list(dictionaries)
         self.coders = []
+        parameters = zstd.ZstdCompressionParameters.from_level(
+            settings.level,
+            min_match=settings.min_match,
+            strategy=zstd.STRATEGY_GREEDY,
+            window_log=17,
+            hash_log=17,
+            chain_log=16,
+            search_log=4,
+            write_checksum=0,
+            write_content_size=0,
+            write_dict_id=0,
+        )
         for content in dictionaries.values():
             held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=settings.level)
-            self.coders.append(
-                zstd.ZstdCompressor(level=settings.level, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
-            )
+            held.precompute_compress(compression_params=parameters)
+            self.coders.append(zstd.ZstdCompressor(compression_params=parameters, dict_data=held))
 
     def sizes(self, text: str) -> np.ndarray:
-        data, step = text.encode(), self.settings.block_bytes
+        data, step = letters_only(text), self.settings.block_bytes
         total = [0] * len(self.coders)
         for at in range(0, len(data), step):
             block = data[at : at + step]
