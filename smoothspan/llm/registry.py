@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from smoothspan.llm.chunk_bpe import digest_documents
 from smoothspan.llm.feistel_pii import pseudonymise
 from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
+from smoothspan.llm.line_join import line_report
 from smoothspan.llm.super_minhash import near_duplicates
 from smoothspan.llm.zstd_language import fit_dictionaries, identify_languages
 
@@ -35,6 +36,10 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
 
 
+def op3_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_documents(spark, sf_dir))
+
+
 def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs, fit_dictionaries(docs.where(_fold(4) != 2)))
@@ -67,7 +72,7 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_feistel_pseudonyms, op6_zstd_language, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op2_feistel_pseudonyms, op3_line_join, op6_zstd_language, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
