@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from smoothspan.llm import containment
 from smoothspan.llm.chunk_bpe import digest_documents
+from smoothspan.llm.containment import contained_items
 from smoothspan.llm.feistel_pii import pseudonymise
 from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
 from smoothspan.llm.line_join import line_report
@@ -40,6 +42,10 @@ def op3_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_documents(spark, sf_dir))
 
 
+def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs, fit_dictionaries(docs.where(_fold(4) != 2)))
@@ -72,8 +78,8 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_feistel_pseudonyms, op3_line_join, op6_zstd_language, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op2_feistel_pseudonyms, op3_line_join, op5_containment, op6_zstd_language, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_containment": containment.ORACLE_SQL}
