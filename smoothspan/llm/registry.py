@@ -13,6 +13,7 @@ from smoothspan.llm.containment import contained_items
 from smoothspan.llm.feistel_pii import pseudonymise
 from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
 from smoothspan.llm.line_join import line_report
+from smoothspan.llm.paragraph_iblt import version_fingerprints
 from smoothspan.llm.super_minhash import near_duplicates
 from smoothspan.llm.zstd_language import fit_dictionaries, identify_languages
 
@@ -52,6 +53,10 @@ def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op7_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_fingerprints(_documents(spark, sf_dir))
+
+
 def op8_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_documents(spark, sf_dir))
     kept = F.coalesce(F.col("node") == F.col("component_id"), F.lit(True))
@@ -78,7 +83,7 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_feistel_pseudonyms, op3_line_join, op5_containment, op6_zstd_language, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
+    return {f.__name__: f for f in (op2_feistel_pseudonyms, op3_line_join, op5_containment, op6_zstd_language, op7_paragraph_iblt, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
