@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smoothspan.llm import containment
+from smoothspan.llm import containment, quote_links, temporal_lists
 from smoothspan.llm.chunk_bpe import digest_documents
 from smoothspan.llm.containment import contained_items
 from smoothspan.llm.feistel_pii import pseudonymise
 from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
 from smoothspan.llm.line_join import line_report
 from smoothspan.llm.paragraph_iblt import version_fingerprints
+from smoothspan.llm.quote_links import link_conversations
 from smoothspan.llm.super_minhash import near_duplicates
+from smoothspan.llm.temporal_lists import demo_captures, demo_entries, temporal_join
 from smoothspan.llm.zstd_language import fit_dictionaries, identify_languages
 
 #: The key of the registered query; a deployment passes its own.
@@ -35,6 +37,10 @@ def _fold(buckets: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
 
@@ -43,6 +49,11 @@ def op3_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_documents(spark, sf_dir))
 
 
+def op4_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return temporal_join(demo_captures(pages), demo_entries(pages))
+
+
 def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -82,9 +93,27 @@ def op10_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_documents(spark, sf_dir), vocabulary_path())
 
 
+QUERIES = (
+    op1_quote_links,
+    op2_feistel_pseudonyms,
+    op3_line_join,
+    op4_temporal_lists,
+    op5_containment,
+    op6_zstd_language,
+    op7_paragraph_iblt,
+    op8_super_minhash,
+    op9_lexicon_toxicity,
+    op10_chunk_bpe,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_feistel_pseudonyms, op3_line_join, op5_containment, op6_zstd_language, op7_paragraph_iblt, op8_super_minhash, op9_lexicon_toxicity, op10_chunk_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_containment": containment.ORACLE_SQL}
+    return {
+        "op1_quote_links": quote_links.ORACLE_SQL,
+        "op4_temporal_lists": temporal_lists.ORACLE_SQL,
+        "op5_containment": containment.ORACLE_SQL,
+    }
