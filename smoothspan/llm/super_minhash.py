@@ -5,11 +5,12 @@ shorter document is one shingle). SuperMinHash gives slot p(j) of element e the
 permutation of the slots that belongs to e: the ranks within an element are correlated, which lowers the variance of the
 estimate, and once every slot is below j no later rank can matter, so documents stop early.
 
-Equal sets are one node. Bands of the signature propose pairs in two passes, so that no bucket is expanded into all pairs:
+Equal sets are one node. Bands of the signature propose pairs in passes, so that no bucket is expanded into all pairs:
 
 1. every node of a bucket is paired with the bucket's smallest node; verified pairs give components;
-2. nodes of a bucket that are not in the component of its smallest node are paired with the bucket's nodes of other
-   components. Two nodes of one component need no test: their link is already there.
+2. nodes of buckets that still hold several components are compared on full sets, block by block within the clusters that
+   such buckets tie together. Pairs are never rows: a task takes two bounded blocks and returns a spanning forest of the links
+   it finds. Two nodes of one component need no test: their link is already there.
 
 After both passes every pair of nodes that share a bucket is verified on full sets or lies within one component, whatever the
 size of the bucket; nothing is capped.
@@ -48,6 +49,7 @@ class MinHashSettings:
     bands: int = 32
     rows: int = 4
     broadcast_rows: int = 500_000
+    block_items: int = 65_536
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +182,63 @@ def _verify(pairs: DataFrame, docs: DataFrame, settings: MinHashSettings) -> Dat
     return cut(both.where(jaccard_at_least(settings.percent, "x", "y")).select("a", "b"), "minhash-links")
 
 
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, component) of the members of buckets."""
+    joined = members.join(labels, "node", "left")
+    return cut(joined.select("band", "node", F.coalesce("component", "node").alias("component")), "minhash-named")
+
+
+def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings) -> DataFrame:
+    """Links (a, b) between different components of the nodes (node, component, centre) that share mixed buckets.
+
+    Nodes tied by buckets are a cluster. Its nodes are dealt to blocks of about ``block_items`` shingles, and each pair of
+    blocks is compared by one task on full sets. A task returns the edges of a spanning forest, not all linked pairs.
+    """
+    ties = connected_components(mixed, "node", "centre", "minhash-clusters").select("node", F.col("component").alias("cluster"))
+    nodes = mixed.select("node", "component").distinct().join(ties, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    nodes = cut(nodes, "minhash-nodes")
+    sets = cut(shingles_of(docs.join(small_side(nodes.select("node"), settings.broadcast_rows), "node", "left_semi"), settings), "minhash-sets")
+    held = nodes.join(sets, "node")
+    size = held.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / settings.block_items).cast("int").alias("blocks"))
+    dealt = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "items")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, component = table["node"].to_numpy(), table["component"].to_numpy()
+        items = table["items"].combine_chunks()
+        length = items.value_lengths().to_numpy().astype(np.int64)
+        # Rows of the first block against all rows; both blocks are one if i = j.
+        first = np.flatnonzero(table["block"].to_numpy() == table["i"].to_numpy())
+        words, column = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        ends = np.append(0, np.cumsum(length))
+        both = np.zeros((len(first), len(node)), np.float32)
+        for low in range(0, len(words), 16384):  # bounds the dense part
+            part = np.zeros((len(node), min(16384, len(words) - low)), np.float32)
+            here = (column >= low) & (column < low + part.shape[1])
+            part[np.repeat(np.arange(len(node)), length)[here], column[here] - low] = 1
+            both += part[first] @ part.T
+        union = length[first][:, None] + length[None, :] - both
+        linked = (both * 100 >= settings.percent * union) & (component[first][:, None] != component[None, :])
+        parent: dict[int, int] = {}
+        edges = []
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for k, m in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            ra, rb = find(int(component[first[k]])), find(int(component[m]))
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                edges.append((max(int(node[first[k]]), int(node[m])), min(int(node[first[k]]), int(node[m]))))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return cut(each.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "minhash-cluster-links")
+
+
 def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, n_shingles, component_id) of every row; component_id is the smallest id reachable over links."""
     signed = cut(signatures(docs, settings, id_col, text_col), "minhash-signed")
@@ -198,23 +257,18 @@ def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     tested = cut(stars.distinct(), "minhash-stars")
     links = _verify(tested, source, settings)
-    first = connected_components(links, "a", "b", "minhash-first")
-
-    label = first.select(F.col("node").alias("node_"), F.col("component"))
-    named = members.join(label, F.col("node") == F.col("node_"), "left").select(
-        "band", "node", "least", F.coalesce("component", "node").alias("component")
-    )
-    label = label.select(F.col("node_").alias("least_"), F.col("component").alias("least_component"))
-    named = named.join(label, F.col("least") == F.col("least_"), "left").select(
-        "band", "node", "component", F.coalesce("least_component", "least").alias("least_component")
-    )
-    named = cut(named, "minhash-named")
-    apart = named.where("component <> least_component").select("band", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    rest = apart.join(named.select("band", F.col("node").alias("b"), "component"), "band").where("component_a <> component and a <> b")
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    rest = cut(rest, "minhash-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, source, settings))
+    named = _named(members, connected_components(links, "a", "b", "minhash-labels"))
+    spread = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("centre"))
+    mixed = cut(named.join(spread.where("low < high").select("band", "centre"), "band").drop("band").distinct(), "minhash-mixed")
+    if not mixed.isEmpty():
+        links = links.unionByName(_link_clusters(mixed, source, settings))
     groups = connected_components(links.unionByName(same), "a", "b", "minhash-groups")
     out = rows.join(groups.select("node", "component"), "node", "left")
     return out.select("node", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, settings: MinHashSettings = MinHashSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group; rows with a null id stay."""
+    groups = near_duplicates(docs, settings, id_col, text_col).where("node <> component_id").select(F.col("node").alias("node_")).distinct()
+    gone = small_side(cut(groups, "minhash-gone"), settings.broadcast_rows)
+    return docs.join(gone, docs[id_col] == gone["node_"], "left_anti")
