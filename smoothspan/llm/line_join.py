@@ -1,22 +1,24 @@
 """Near-duplicate lines by an exact set-similarity join, and their removal.
 
-A line is the set of its distinct words (ASCII white space separates words, A-Z is lower-cased). Two lines match if the
-Jaccard similarity of their sets is at least ``percent`` / 100. A line is removed if any earlier line, in the order of
-(document id, line number), matches it. Lines with fewer than ``min_tokens`` distinct words are never matched.
-
-The join: words are ordered by rarity (counts of all words of all documents, in a table of fixed size; ties by hash, so any
-count gives an exact join and true counts a fast one). A line is indexed under its prefix, the n - ceil(t * n) + 1 rarest of
-its n words; matching lines share a prefix word. Pairs must pass the length filter, the positional filter (words left after
-the shared one on both sides) and a 64-bit sketch of the sets that bounds their difference, all of which only drop pairs that
-cannot match; the rest is verified on full sets.
-
-Equal sets are one class, and only first occurrences are joined. Lists of words that the table shows to be short are joined
-with themselves. For the other words, as only the existence of an earlier match matters, a class that is found to have one is
-no longer searched for: the first pass compares each class with the first class under its words (in all and of its length),
-the second searches earlier classes for those that are left. So groups of near copies cost one comparison for each member and
-word, not all pairs, and no result is lost.
-
-Words are compared by 64-bit hashes and classes by 128-bit hashes of their words.
+A line is the set of its ``shingle``-word shingles (ASCII white space separates words, A-Z is lower-cased). Two lines match if
+the Jaccard similarity of their sets is at least ``percent`` / 100. A line is removed if any earlier line, in the order of
+(document id, line number), matches it. Lines with fewer than ``shingle`` words are never matched.
+
+The join: the tokens (shingles) of a line are ordered by rarity: those seen once in all documents before those seen more often,
+ties by hash, so every order is the same everywhere and the join is exact. A line is indexed under its prefix, the
+n - ceil(t * n) + 1 rarest of its n tokens; matching lines share a prefix token, and a token that was seen once is shared by no
+line, so it is not indexed. How often a token was seen comes from two bit tables of fixed size over all tokens of all
+documents: tokens that meet in a table count as seen more often, which costs time and no result. With more tokens than bits
+the tables stop to prune, and all prefixes are shuffled. Pairs must pass the length filter, the positional filter (tokens left
+after the shared one on both sides) and a 64-bit sketch of the sets that bounds their difference, all of which only drop pairs
+that cannot match; the rest is verified on full sets.
+
+Equal sets are one class, and only first occurrences are joined. Short lists of a token are joined with themselves. In long
+ones each class is compared with the first class of the list; as only the existence of an earlier match matters, classes
+found to have one are not searched for again. Classes of long lists that have none yet are compared on full sets block by
+block within the clusters that their lists tie together: pairs are never rows, whatever the size of a group of near copies.
+
+Tokens are compared by 64-bit hashes and classes by 128-bit hashes of their tokens.
 
 Defined results: null texts stay null and empty ones empty; lines are split at ``\\n`` only; a document whose lines all go
 keeps an empty text; rows that share an id are one document, of which lines with one number are one line and go or stay
@@ -25,6 +27,7 @@ together; rows with a null id come first in the order and are one document too.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,130 +36,152 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from smoothspan.llm.blockwise import overlaps
 from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
+from smoothspan.llm.components import connected_components
 from smoothspan.llm.scratch import cut
 
-#: Counters of the word table; its size does not depend on the data (4 MB as 32-bit numbers).
-COUNTERS = 1 << 20
-SLICES = 64
+#: Bits of the tables of seen tokens; their size does not depend on the data (16 MB each).
+TABLE_BITS = 27
+SLICES = 32
 
 
 @dataclass(frozen=True)
 class LineSettings:
-    """``short_list``: words counted no more often are joined directly, others in two passes (the result is the same).
+    """``short_list``: lists up to this length are joined with themselves, longer ones in two passes (the result is the same).
     ``broadcast_rows``: most rows that are broadcast; larger tables are joined by a shuffle."""
 
-    percent: int = 80
-    min_tokens: int = 5
-    short_list: int = 128
+    percent: int = 75
+    shingle: int = 5
+    short_list: int = 64
+    block_items: int = 16_384
     broadcast_rows: int = 500_000
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often the words of all documents fall into each of COUNTERS counters (by hash)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            raw, offsets = text_buffers(batch.column(0))
-            for _, _, part, at in blocks(raw, offsets):
-                value, _, _ = words(part, at)
-                np.add.at(table, (value >> np.uint64(44)).astype(np.int64), 1)
-        parts = table.reshape(SLICES, -1)
-        lists = [row.tolist() for row in parts] if table.any() else []
-        keys = list(range(SLICES)) if lists else []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["slice", "counts"])
-
-    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS // SLICES, np.int64)
-        for batch in batches:
-            for row in batch.column(1):
-                table += row.values.to_numpy()
-        table = np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["slice", "counts"])
-
-    partial = docs.select(F.col(text_col)).mapInArrow(count, "slice int, counts array<bigint>")
-    out = np.zeros(COUNTERS, np.int32)
-    step = COUNTERS // SLICES
-    for row in partial.groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():  # SLICES rows of fixed size
-        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.int32)
-    return out
+def _slots(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    slot = token >> np.uint64(64 - TABLE_BITS)
+    return (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)
 
 
-def _line_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, hash) of the distinct words of each line that has words, ordered by line; then row and number of every line."""
+def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, token) of the distinct tokens of each line that has some, ordered by line; then row and number of every line."""
     value, start, row = words(raw, offsets)
     breaks = np.flatnonzero(raw == 10)
-    line = np.searchsorted(breaks, start) + row  # rows end lines too
-    order = np.lexsort((value, line)) if len(line) else np.zeros(0, np.int64)
-    line, value = line[order], value[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
+    at = np.searchsorted(breaks, start) + row  # rows end lines too
+    acc = np.zeros(max(len(value) - size + 1, 0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            acc = acc * np.uint64(0x100000001B3) + value[k : k + len(acc)]
+        inside = np.flatnonzero(at[: len(acc)] == at[size - 1 : size - 1 + len(acc)]) if len(acc) else np.zeros(0, np.int64)
+        token, line = mix(acc[inside]), at[inside]
+    # Repeats within a line are rare: only lines that may have some are sorted.
+    order = np.argsort(token, kind="stable")
+    same = np.flatnonzero((token[order][1:] == token[order][:-1]) & (line[order][1:] == line[order][:-1]))
+    if len(same):
+        keep = np.ones(len(token), bool)
+        keep[order[same + 1]] = False
+        token, line = token[keep], line[keep]
     per_row = np.searchsorted(breaks, offsets[:-1])  # line breaks before each row
     first_line = per_row + np.arange(len(offsets) - 1)
     count = np.diff(np.append(first_line, len(breaks) + len(offsets) - 1))
     owner = np.repeat(np.arange(len(offsets) - 1), count)
     number = np.arange(len(owner)) - np.repeat(first_line, count)
-    return line[new], value[new], owner, number
+    return line, token, owner, number
 
 
 def _starts(line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
 
 
-def _class_hashes(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _class_hashes(token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        low = np.add.reduceat(mix(value), starts)
-        high = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+        low = np.add.reduceat(mix(token), starts)
+        high = np.add.reduceat(mix(token ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
     return low.view(np.int64), high.view(np.int64)
 
 
-def index_lines(docs: DataFrame, counts: np.ndarray, settings: LineSettings) -> DataFrame:
-    """(doc, line, low, high, size, sketch, prefix, frequent) of every line with enough words.
+def seen_twice(docs: DataFrame, settings: LineSettings) -> np.ndarray:
+    """The packed bit table of token slots that were hit more than once in all documents."""
+    size = (1 << TABLE_BITS) // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(0))
+            for _, _, part, at in blocks(raw, offsets):
+                _, token, _, _ = _line_sets(part, at, settings.shingle)
+                token = np.sort(token >> np.uint64(64 - TABLE_BITS)) << np.uint64(64 - TABLE_BITS)
+                again = np.append(False, token[1:] == token[:-1])
+                place, bit = _slots(token)
+                hit = again | ((once[place] & bit) != 0)
+                np.bitwise_or.at(twice, place[hit], bit[hit])
+                np.bitwise_or.at(once, place, bit)
+        if once.any():
+            step = size // SLICES
+            parts = [(k, *(zlib.compress(t[k * step : (k + 1) * step].tobytes(), 1) for t in (once, twice))) for k in range(SLICES)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts]), pa.array([p[2] for p in parts])], names=["slice", "once", "twice"]
+            )
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(size // SLICES, np.uint8), np.zeros(size // SLICES, np.uint8)
+        for batch in batches:
+            for a, b in zip(batch.column(1), batch.column(2), strict=True):
+                new = np.frombuffer(zlib.decompress(a.as_py()), np.uint8)
+                twice |= np.frombuffer(zlib.decompress(b.as_py()), np.uint8) | (once & new)
+                once |= new
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)])], names=["slice", "twice"])
+
+    marked = docs.select("text").mapInArrow(mark, "slice int, once binary, twice binary")
+    out = np.zeros(size, np.uint8)
+    for row in marked.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect():  # SLICES rows of fixed size
+        part = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
+        out[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
+    return out
 
-    The last two hold the rarest words of the line with their places, split by whether the word's list is known to be short.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> DataFrame:
+    """(doc, line, low, high, size, sketch, prefix) of every line with tokens; prefix: (word, place) of its rarest tokens
+    without those seen once."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        twice = shared.value
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for first, rows, part, at in blocks(raw, offsets):
-                line, value, owner, number = _line_sets(part, at)
-                starts = _starts(line)
-                size = np.diff(np.append(starts, len(line)))
-                enough = np.repeat(size >= settings.min_tokens, size)
-                line, value = line[enough], value[enough]
+                line, token, owner, number = _line_sets(part, at, settings.shingle)
                 if not len(line):
                     continue
                 starts = _starts(line)
                 size = np.diff(np.append(starts, len(line)))
-                low, high = _class_hashes(value, starts)
-                sketch = np.bitwise_or.reduceat(np.uint64(1) << (mix(value) >> np.uint64(58)), starts).view(np.int64)
-                rarity = table[(value >> np.uint64(44)).astype(np.int64)]
-                order = np.lexsort((value, rarity, line))
-                place = np.arange(len(line)) - np.repeat(starts, size)
+                low, high = _class_hashes(token, starts)
+                sketch = np.bitwise_or.reduceat(np.uint64(1) << (mix(token) >> np.uint64(58)), starts).view(np.int64)
+                place, bit = _slots(token)
+                often = (twice[place] & bit) != 0
+                unique = size - np.add.reduceat(often, starts, dtype=np.int64)
                 prefix = size - -(-settings.percent * size // 100) + 1
-                keep = place < np.repeat(prefix, size)
-                often = rarity[order] > settings.short_list
-                lists = []
-                for chosen in (keep & ~often, keep & often):
-                    ends = np.append(0, np.cumsum(np.add.reduceat(chosen, starts, dtype=np.int32))).astype(np.int32)
-                    entries = pa.StructArray.from_arrays(
-                        [pa.array(value[order][chosen].view(np.int64)), pa.array(place[chosen].astype(np.int32))], names=["word", "place"]
-                    )
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends), entries))
+                # Tokens seen once fill the first places; of the others, by hash, those that still fall into the prefix.
+                kept = np.flatnonzero(often)
+                order = kept[np.lexsort((token[kept], line[kept]))]
+                index = np.repeat(np.arange(len(starts)), size)[order]
+                count = np.bincount(index, minlength=len(starts))
+                position = np.arange(len(order)) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + unique[index]
+                chosen = position < prefix[index]
+                ends = np.append(0, np.cumsum(np.bincount(index[chosen], minlength=len(starts)))).astype(np.int32)
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(token[order][chosen].view(np.int64)), pa.array(position[chosen].astype(np.int32))], names=["word", "place"]
+                )
                 which = line[starts]
                 ids = batch.column(0).slice(first, rows).take(pa.array(owner[which]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), pa.array(size.astype(np.int32)), pa.array(sketch), *lists],
-                    names=["doc", "line", "low", "high", "size", "sketch", "prefix", "frequent"],
-                )
+                    [ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), pa.array(size.astype(np.int32)), pa.array(sketch), pa.ListArray.from_arrays(pa.array(ends), entries)],
+                    names=["doc", "line", "low", "high", "size", "sketch", "prefix"],
+                )
 
-    kind, lists = docs.schema["doc"].dataType.simpleString(), "array<struct<word: bigint, place: int>>"
+    kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "text").mapInArrow(
-        run, f"doc {kind}, line int, low long, high long, size int, sketch long, prefix {lists}, frequent {lists}"
+        run, f"doc {kind}, line int, low long, high long, size int, sketch long, prefix array<struct<word: bigint, place: int>>"
     )
 
 
@@ -169,15 +194,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, settings: LineSettings) -> Da
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for first, rows, part, at in blocks(raw, offsets):
-                line, value, owner, number = _line_sets(part, at)
+                line, token, owner, number = _line_sets(part, at, settings.shingle)
                 if not len(line):
                     continue
                 starts = _starts(line)
-                low, high = _class_hashes(value, starts)
+                low, high = _class_hashes(token, starts)
                 which = line[starts]
-                items = pa.ListArray.from_arrays(pa.array(np.append(starts, len(line)).astype(np.int32)), pa.array(value.view(np.int64)))
+                items = pa.ListArray.from_arrays(pa.array(np.append(starts, len(line)).astype(np.int32)), pa.array(token.view(np.int64)))
                 ids = batch.column(0).slice(first, rows).take(pa.array(owner[which]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), items], names=["doc", "line", "low", "high", "items"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), items], names=["doc", "line", "low", "high", "items"]
+                )
 
     kind = docs.schema["doc"].dataType.simpleString()
     texts = docs.join(few, docs["doc"].eqNullSafe(few["doc"]), "left_semi").select("doc", "text")
@@ -197,12 +224,15 @@ def _may_match(percent: int) -> Column:
     return length & (differ <= x + y - 2 * need) & position
 
 
+def _sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, settings: LineSettings) -> DataFrame:
+    """(low, high, place, items) of the classes with the given hashes ``low``; place is a class's first line."""
+    wanted = cut(classes.join(keys, "low", "left_semi").select("low", "high", "doc", "line"), "lines-keys")
+    return cut(_full_sets(docs, wanted, settings).select("low", "high", F.struct("doc", "line").alias("place"), "items"), "lines-sets")
+
+
 def _later_of_matches(pairs: DataFrame, docs: DataFrame, classes: DataFrame, settings: LineSettings) -> DataFrame:
     """(low, high) of the later class of each pair (x, y) of class hashes whose full sets match."""
-    keys = pairs.select(F.explode(F.array("x", "y")).alias("low")).distinct()
-    wanted = cut(classes.join(keys, "low", "left_semi").select("low", "high", "doc", "line"), "lines-keys")
-    sets = _full_sets(docs, wanted, settings)
-    sets = cut(sets.select("low", "high", F.struct("doc", "line").alias("place"), "items"), "lines-sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("x", "y")).alias("low")).distinct(), docs, classes, settings)
     left, right = (sets.select(*[F.col(c).alias(f"{p}_{c}") for c in sets.columns]) for p in "xy")
     both = pairs.join(left, F.col("x") == F.col("x_low")).join(right, F.col("y") == F.col("y_low"))
     common = F.size(F.array_intersect("x_items", "y_items"))
@@ -212,44 +242,67 @@ def _later_of_matches(pairs: DataFrame, docs: DataFrame, classes: DataFrame, set
     return cut(later.distinct(), "lines-later")
 
 
+def _later_in_clusters(ties: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, settings: LineSettings) -> DataFrame:
+    """(low, high) of classes in ``ties`` (cid, centre) that are not found yet and have an earlier match in their cluster."""
+    labels = connected_components(ties, "cid", "centre", "lines-clusters")
+    nodes = ties.select(F.explode(F.array("cid", "centre")).alias("node")).distinct().join(labels, "node", "left")
+    nodes = cut(nodes.select(F.col("node").alias("low"), F.coalesce("component", "node").alias("cluster")), "lines-nodes")
+    sets = _sets_of(nodes.select("low"), docs, classes, settings).select("low", "high", "place.doc", "place.line", "items")
+    held = sets.join(nodes, "low").join(found.withColumn("found", F.lit(True)), ["low", "high"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    size = held.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / settings.block_items).cast("int").alias("blocks"))
+    dealt = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("low", "high"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "low", "high", "doc", "line", "found", "items")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc", "ascending"), ("line", "ascending")]).combine_chunks()
+        null = table["doc"].is_null().to_numpy()  # nulls come first in the order
+        order = np.argsort(~null, kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        first = np.flatnonzero(table["block"].to_numpy() == table["i"].to_numpy())
+        both, union = overlaps(table["items"].combine_chunks(), first)
+        match = both * 100 >= settings.percent * union
+        rank = np.arange(len(table))
+        later = np.zeros(len(table), bool)
+        later[first] = (match & (rank[None, :] < first[:, None])).any(axis=1)
+        later |= (match & (rank[None, :] > first[:, None])).any(axis=0)
+        out = np.flatnonzero(later & ~table["found"].to_numpy())
+        return table.select(["low", "high"]).take(pa.array(out))
+
+    return cut(each.groupBy("cluster", "i", "j").applyInArrow(compare, "low long, high long").distinct(), "lines-later")
+
+
 def duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of every line that an earlier line matches; doc is the id column's value and lines count from 0."""
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = cut(index_lines(docs, count_words(docs), settings), "lines-index")
+    lines = cut(index_lines(docs, seen_twice(docs, settings), settings), "lines-index")
     key = ["low", "high"]
-    head = F.min(F.struct("doc", "line", "size", "sketch", "prefix", "frequent")).alias("head")
+    head = F.min(F.struct("doc", "line", "size", "sketch", "prefix")).alias("head")
     heads = cut(lines.groupBy(*key).agg(head, F.count("*").alias("n")).select(*key, "head.*", "n"), "lines-classes")
     classes = heads.select(*key, "doc", "line", "n")
-
-    def postings(column: str, *more: str) -> DataFrame:
-        rows = heads.select(F.col("low").alias("cid"), "size", "sketch", *more, F.explode(column).alias("p"))
-        return rows.select("p.word", "cid", "size", F.col("p.place").alias("place"), "sketch", *more)
+    postings = heads.where(F.size("prefix") > 0).select(F.col("low").alias("cid"), "size", "sketch", "doc", "line", F.explode("prefix").alias("p"))
+    postings = postings.select("p.word", "cid", "size", F.col("p.place").alias("place"), "sketch", "doc", "line")
+    lists = postings.groupBy("word").agg(F.count("*").alias("list")).where("list > 1")
+    postings = cut(postings.join(lists, "word"), "lines-postings")
+    short, long = postings.where(F.col("list") <= settings.short_list), postings.where(F.col("list") > settings.short_list)
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("word", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "word"])
+        return df.select("word", *[F.col(c).alias(f"{prefix}_{c}") for c in ("cid", "size", "place", "sketch")])
 
     pair = (F.least("x_cid", "y_cid").alias("x"), F.greatest("x_cid", "y_cid").alias("y"))
     may = _may_match(settings.percent)
-    # Words with short lists: all pairs of a list are looked at, at most short_list for each posting.
-    rare = postings("prefix")
-    close = named(rare, "x").join(named(rare, "y"), "word").where((F.col("x_cid") < F.col("y_cid")) & may).select(*pair)
-    # Frequent words: each class against the first class under the word, in all and of its size.
-    often = postings("frequent", "doc", "line")
-    whole = F.struct("doc", "line", "cid", "size", "sketch", "place")
-    by_word = named(often, "x").join(named(often.groupBy("word").agg(F.min(whole).alias("s")).select("word", "s.*"), "y"), "word")
-    alike = named(often.groupBy("word", "size").agg(F.min(whole).alias("s")).select("word", "s.*"), "y").withColumn("x_size", F.col("y_size"))
-    by_size = named(often, "x").join(alike, ["word", "x_size"])
-    stars = by_word.where((F.col("x_cid") != F.col("y_cid")) & may).select(*pair).union(by_size.where((F.col("x_cid") != F.col("y_cid")) & may).select(*pair))
+    close = named(short, "x").join(named(short, "y"), "word").where((F.col("x_cid") < F.col("y_cid")) & may).select(*pair)
+    firsts = long.groupBy("word").agg(F.min(F.struct("doc", "line", "cid", "size", "sketch", "place")).alias("s")).select("word", "s.*")
+    stars = named(long, "x").join(named(firsts, "y"), "word").where((F.col("x_cid") != F.col("y_cid")) & may).select(*pair)
     tested = cut(close.union(stars).distinct(), "lines-pairs")
     found = _later_of_matches(tested, docs, classes, settings)
 
-    # Classes that have no earlier match yet, against all earlier classes under their frequent words.
-    left = often.join(found.select(F.col("low").alias("cid")), "cid", "left_anti")
-    before = F.struct("y_doc", "y_line") < F.struct("x_doc", "x_line")
-    rest = named(left, "x").join(named(often, "y"), "word").where(before & may).select(*pair)
-    rest = cut(rest.distinct().join(tested, ["x", "y"], "left_anti"), "lines-rest")
-    if not rest.isEmpty():
-        found = found.union(_later_of_matches(rest, docs, classes, settings)).distinct()
+    centres = firsts.select("word", F.col("cid").alias("centre"))
+    open_ = long.select("word", "cid").join(found.select(F.col("low").alias("cid")), "cid", "left_anti").join(centres, "word").where("cid <> centre")
+    busy = long.select("word", "cid").join(open_.select("word").distinct(), "word", "left_semi").join(centres, "word")
+    ties = cut(busy.select("cid", "centre").distinct(), "lines-ties")
+    if not ties.isEmpty():
+        found = found.union(_later_in_clusters(ties, found, docs, classes, settings)).distinct()
 
     # Later lines of a class go, and the first one if an earlier class matches.
     hit = classes.join(found.withColumn("matched", F.lit(True)), key, "left").where("n > 1 or matched")

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from smoothspan.llm.blockwise import overlaps
 from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
 from smoothspan.llm.components import connected_components
 from smoothspan.llm.scratch import cut
@@ -207,19 +208,9 @@ def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings)
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, component = table["node"].to_numpy(), table["component"].to_numpy()
-        items = table["items"].combine_chunks()
-        length = items.value_lengths().to_numpy().astype(np.int64)
         # Rows of the first block against all rows; both blocks are one if i = j.
         first = np.flatnonzero(table["block"].to_numpy() == table["i"].to_numpy())
-        words, column = np.unique(items.flatten().to_numpy(), return_inverse=True)
-        ends = np.append(0, np.cumsum(length))
-        both = np.zeros((len(first), len(node)), np.float32)
-        for low in range(0, len(words), 16384):  # bounds the dense part
-            part = np.zeros((len(node), min(16384, len(words) - low)), np.float32)
-            here = (column >= low) & (column < low + part.shape[1])
-            part[np.repeat(np.arange(len(node)), length)[here], column[here] - low] = 1
-            both += part[first] @ part.T
-        union = length[first][:, None] + length[None, :] - both
+        both, union = overlaps(table["items"].combine_chunks(), first)
         linked = (both * 100 >= settings.percent * union) & (component[first][:, None] != component[None, :])
         parent: dict[int, int] = {}
         edges = []
