@@ -185,8 +185,8 @@ class Pseudonymiser:
             return None
         walk = self.permute("date", x, _DAYS)
         new = _EPOCH + dt.timedelta(days=walk)
-        # Between slashes the layout is told by the day: stay among the days that read alike.
-        while "/" in text and order != "ymd" and (order == "dmy") != (new.day > 12):
+        # Between slashes, day first is told by a day above 12: stay among those.
+        while "/" in text and order == "dmy" and new.day <= 12:
             walk = self.permute("date", walk, _DAYS)
             new = _EPOCH + dt.timedelta(days=walk)
         values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
