@@ -132,6 +132,7 @@ class LexiconAutomaton:
         return self.accept[state]
 
 
+_LEAD = re.compile(r"[^\w\s]*")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -194,6 +195,7 @@ class ToxicScorer:
             counts = np.zeros((rows, 3))
             for k in np.flatnonzero(per_word >= 0):
                 r, s = int(row[k]), int(start[k])
+                s += len(_LEAD.match(data[s : s + 64].decode("utf-8", "ignore")).group().encode())  # quotation marks before the word
                 low, high = max(int(at[r]), s - self.model.settings.window), min(int(at[r + 1]), s + self.model.settings.window)
                 quoted = is_quoted(data[low:s].decode("utf-8", "replace"), data[s:high].decode("utf-8", "replace"))
                 counts[r, 2 if quoted else 0 if per_word[k] == 0 else 1] += 1
