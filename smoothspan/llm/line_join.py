@@ -312,26 +312,29 @@ def duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id
 
 
 def drop_duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines of :func:`duplicate_lines`."""
-    return _without(docs, duplicate_lines(docs, settings, id_col, text_col), settings, id_col, text_col).select(*docs.columns)
+    """``docs``, with all its columns, without the lines of :func:`duplicate_lines`."""
+    found = _without(docs, duplicate_lines(docs, settings, id_col, text_col), settings, id_col, text_col)
+    return found.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _without(docs: DataFrame, gone: DataFrame, settings: LineSettings, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the text cut and the columns n_lines_ and n_removed_."""
-    lists = cut(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines_")), "lines-gone")  # lines of one document
-    lists = lists.withColumnRenamed("doc", "doc_")
-    size = lists.agg(F.sum(F.size("lines_"))).first()[0] or 0
+    """(row, kept_text, n_lines, n_removed): the rows of ``docs`` as structs, so that no column of theirs clashes with others."""
+    lists = cut(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines-gone")  # lines of one document
+    size = lists.agg(F.sum(F.size("lines"))).first()[0] or 0
     side = F.broadcast(lists) if size <= 4 * settings.broadcast_rows else lists
-    text = F.col(text_col)
-    parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("lines_"), i)), "\n")
-    joined = docs.join(side, docs[id_col].eqNullSafe(side["doc_"]), "left")
-    joined = joined.withColumn("n_lines_", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    joined = joined.withColumn("n_removed_", F.coalesce(F.size("lines_"), F.lit(0)).cast("long"))
-    return joined.withColumn(text_col, F.when(F.col("lines_").isNull(), text).otherwise(kept)).drop("lines_", "doc_")
+    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("whole"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    parts = F.split("whole", "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
+    joined = base.join(side, base["id"].eqNullSafe(side["doc"]), "left")
+    return joined.select(
+        "row",
+        F.when(F.col("lines").isNull(), F.col("whole")).otherwise(kept).alias("kept_text"),
+        F.when(F.col("whole").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 def line_report(docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, text): every document with its lines counted and the text that is left."""
     found = _without(docs.select(id_col, text_col), duplicate_lines(docs, settings, id_col, text_col), settings, id_col, text_col)
-    return found.select(id_col, F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), text_col)
+    return found.select(F.col("row").getField(id_col).alias(id_col), "n_lines", "n_removed", F.col("kept_text").alias(text_col))
