@@ -9,12 +9,17 @@ import pyarrow as pa
 def overlaps(items: pa.ListArray, first: np.ndarray, width: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
     """(intersections, unions) of the sets ``first`` with all sets. ``width`` bounds the dense part that is held at once."""
     length = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    words, column = np.unique(items.flatten().to_numpy(), return_inverse=True)
+    words, column, seen = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(length)), length)
+    shared = seen > 1  # an item of one set only is in no intersection but with itself
+    alone = np.bincount(row[~shared[column]], minlength=len(length))
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    words = words[shared]
     both = np.zeros((len(first), len(length)), np.float32)
     for low in range(0, len(words), width):
         part = np.zeros((len(length), min(width, len(words) - low)), np.float32)
         here = (column >= low) & (column < low + part.shape[1])
         part[row[here], column[here] - low] = 1
         both += part[first] @ part.T
+    both[np.arange(len(first)), first] += alone[first]
     return both, length[first][:, None] + length[None, :] - both

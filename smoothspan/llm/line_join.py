@@ -27,12 +27,12 @@ together; rows with a null id come first in the order and are one document too.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +41,8 @@ from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
 from smoothspan.llm.components import connected_components
 from smoothspan.llm.scratch import cut
 
-#: Bits of the tables of seen tokens; their size does not depend on the data (16 MB each).
-TABLE_BITS = 27
+#: Bits of the tables of seen tokens; their size does not depend on the data (32 MB each).
+TABLE_BITS = 28
 SLICES = 32
 
 
@@ -117,8 +117,8 @@ def seen_twice(docs: DataFrame, settings: LineSettings) -> np.ndarray:
                 np.bitwise_or.at(twice, place[hit], bit[hit])
                 np.bitwise_or.at(once, place, bit)
         if once.any():
-            step = size // SLICES
-            parts = [(k, *(zlib.compress(t[k * step : (k + 1) * step].tobytes(), 1) for t in (once, twice))) for k in range(SLICES)]
+            step, pack = size // SLICES, zstandard.ZstdCompressor(1).compress
+            parts = [(k, *(pack(t[k * step : (k + 1) * step].tobytes()) for t in (once, twice))) for k in range(SLICES)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts]), pa.array([p[2] for p in parts])], names=["slice", "once", "twice"]
             )
@@ -127,22 +127,22 @@ def seen_twice(docs: DataFrame, settings: LineSettings) -> np.ndarray:
         once, twice = np.zeros(size // SLICES, np.uint8), np.zeros(size // SLICES, np.uint8)
         for batch in batches:
             for a, b in zip(batch.column(1), batch.column(2), strict=True):
-                new = np.frombuffer(zlib.decompress(a.as_py()), np.uint8)
-                twice |= np.frombuffer(zlib.decompress(b.as_py()), np.uint8) | (once & new)
+                new = np.frombuffer(zstandard.decompress(a.as_py()), np.uint8)
+                twice |= np.frombuffer(zstandard.decompress(b.as_py()), np.uint8) | (once & new)
                 once |= new
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)])], names=["slice", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.ZstdCompressor(1).compress(twice.tobytes())])], names=["slice", "twice"])
 
     marked = docs.select("text").mapInArrow(mark, "slice int, once binary, twice binary")
     out = np.zeros(size, np.uint8)
     for row in marked.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect():  # SLICES rows of fixed size
-        part = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
+        part = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
         out[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
     return out
 
 
 def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> DataFrame:
     """(doc, line, low, high, size, sketch, prefix) of every line with tokens; prefix: (word, place) of its rarest tokens
-    without those seen once."""
+    without those seen once, and the sketch is null if none is left."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> D
                 which = line[starts]
                 ids = batch.column(0).slice(first, rows).take(pa.array(owner[which]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), pa.array(size.astype(np.int32)), pa.array(sketch), pa.ListArray.from_arrays(pa.array(ends), entries)],
+                    [ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), pa.array(size.astype(np.int32)), pa.array(sketch, mask=np.diff(ends) == 0), pa.ListArray.from_arrays(pa.array(ends), entries)],
                     names=["doc", "line", "low", "high", "size", "sketch", "prefix"],
                 )
 
@@ -253,6 +253,8 @@ def _later_in_clusters(ties: DataFrame, found: DataFrame, docs: DataFrame, class
     dealt = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("low", "high"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "low", "high", "doc", "line", "found", "items")
+    # A number of partitions of its own: groups are few bytes and much work, so they must not be coalesced.
+    each = each.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster", "i", "j")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc", "ascending"), ("line", "ascending")]).combine_chunks()

@@ -204,6 +204,8 @@ def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings)
     dealt = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "items")
+    # A number of partitions of its own: groups are few bytes and much work, so they must not be coalesced.
+    each = each.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster", "i", "j")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
