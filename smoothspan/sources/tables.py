@@ -52,10 +52,21 @@ def check_columns(df: DataFrame, wanted: list[str]) -> None:
 def with_row_index(df: DataFrame, name: str = "row_index", order_by: list[str] | None = None) -> DataFrame:
     """Consecutive numbers from 0, in the order given or else in file order, without a single-task sort.
 
-    Counts of each partition give the offsets, so only one small table is collected.
+    Rows per partition are counted and give the offsets. A plan without exchanges (a scan) has the same partitions each time it
+    runs and is numbered by expressions; other plans are numbered as one RDD, so that both passes see the same partitions.
     """
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+        placed = df.withColumn("placed_", F.monotonically_increasing_id())
+        part = F.shiftright("placed_", 33).cast("int")
+        counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+        offsets, total = [0] * (counts[-1][0] + 1 if counts else 1), 0
+        for k, n in counts:
+            offsets[k], total = total, total + n
+        start = F.get(F.array(*[F.lit(n).cast("long") for n in offsets]), part) if len(offsets) <= 10_000 else None
+        if start is not None:
+            return placed.withColumn(name, start + F.col("placed_").bitwiseAND((1 << 33) - 1)).drop("placed_")
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
     return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
 
