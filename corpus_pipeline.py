@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that match earlier lines."""
-    return drop_duplicate_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the lines that match earlier lines; copies of which no line is left go."""
+    return drop_duplicate_lines(docs, drop_emptied=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

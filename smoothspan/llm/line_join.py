@@ -313,9 +313,16 @@ def duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id
     return gone.where("matched or not (doc <=> d and line <=> k)").select("doc", "line")
 
 
-def drop_duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, with all its columns, without the lines of :func:`duplicate_lines`."""
+def drop_duplicate_lines(
+    docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False
+) -> DataFrame:
+    """``docs``, with all its columns, without the lines of :func:`duplicate_lines`.
+
+    With ``drop_emptied``, documents of which nothing but white space is left by the removal go too; texts that were empty stay.
+    """
     found = _without(docs, duplicate_lines(docs, settings, id_col, text_col), settings, id_col, text_col)
+    if drop_emptied:
+        found = found.where(~((F.col("n_removed") > 0) & F.coalesce(F.col("kept_text").rlike(r"^\s*$"), F.lit(False))))
     return found.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -17,7 +17,8 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     scores = scorer.scores(scorer.features(pa.array(list(rows.values()))))
     rows = {i: t for (i, t), s in zip(rows.items(), scores, strict=True) if s < 0.5}
     gone = brute.duplicate_lines(sorted(rows.items()))
-    rows = {i: brute.without(t, {n for d, n in gone if d == i}) for i, t in rows.items()}
+    cut = {i: brute.without(t, {n for d, n in gone if d == i}) for i, t in rows.items()}
+    rows = {i: t for i, t in cut.items() if t.strip() or t == rows[i]}
     near = brute.components({i: brute.shingles(t) for i, t in rows.items()})
     rows = {i: t for i, t in rows.items() if near[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
