@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; bounds the memory of the 64-bit work arrays. A longer text is handled alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)

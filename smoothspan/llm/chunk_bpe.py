@@ -1,8 +1,8 @@
 """Byte-level BPE by reuse of content-defined chunks.
 
 A rolling hash over the bytes before a white-space byte decides where a text may be cut, so equal passages are cut alike in
-every document. Each distinct chunk of an Arrow batch is encoded once (and kept in a bounded cache of the Python worker for
-later batches); the ids of a document are put together from its chunks.
+every document. Each distinct chunk of an Arrow batch is encoded once (and kept in a bounded cache for the later batches of
+the task); the ids of a document are put together from its chunks.
 
 Joins are repaired before they are used. A cut stands only where the pre-tokenizer provably ends a piece: between a character
 that is no white space and white space after it. At any other cut (runs of white space, characters that may be Unicode white
@@ -10,7 +10,7 @@ space) the two chunks are joined again, with their neighbours as far as needed,
 agree with those of the uncut text. ``verify_joins`` re-encodes every join as a check and is what the tests run.
 
 The exchange of chunks between machines is left out on purpose: it would shuffle each text and its ids once more, which is
-more than encoding costs. Reuse is within a worker, and memory is bounded by the batch and the cache.
+more than encoding costs. Reuse is within a task, and memory is bounded by the batch and the cache.
 
 Defined results: a null text counts as empty and has no ids; special-token strings are encoded as the tokenizer encodes them;
 columns other than the id and text columns are ignored; repeated rows give repeated results; an empty table an empty one.
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from smoothspan.llm.bytescan import blocks, text_buffers
+from smoothspan.llm.workers import returning_memory
 
 #: Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -160,6 +161,9 @@ class ChunkEncoder:
             spans = per_row.to_numpy()
             yield first, ids.to_pylist(), back.to_pylist(), counts[spans[1:]] - counts[spans[:-1]]
 
+    def clear(self) -> None:
+        self.cache, self.cached = {}, 0
+
     def verify_joins(self, text: str) -> bool:
         """Whether the ids put together from chunks are those of the whole text."""
         whole = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -184,7 +188,7 @@ _encoders: dict[tuple, ChunkEncoder] = {}
 
 
 def worker_encoder(path: str, settings: ChunkSettings) -> ChunkEncoder:
-    """One encoder, with its cache, for each Python worker."""
+    """One encoder for each Python worker; its chunks are given up at the end of a task."""
     key = (path, settings)
     if key not in _encoders:
         _encoders.clear()
@@ -198,6 +202,7 @@ def encode_documents(
     """Ids and decoded text of every document: (id, ids array<int>, decoded string)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, settings)
         for batch in batches:
@@ -207,6 +212,7 @@ def encode_documents(
                     [batch.column(0).slice(first, len(ids)), pa.array(lists, pa.list_(pa.int32())), pa.array([decode_bytes(b) for b in back])],
                     names=[id_col, "ids", "decoded"],
                 )
+        encoder.clear()
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded string")
 
@@ -217,6 +223,7 @@ def digest_documents(
     """The digests of :func:`encode_documents`' results, taken where the ids are made: (id, n_tokens, ids_sha256, decoded_sha256)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, settings)
         for batch in batches:
@@ -230,6 +237,7 @@ def digest_documents(
                     ],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        encoder.clear()
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(
         run, f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

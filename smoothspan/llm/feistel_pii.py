@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from smoothspan.llm.workers import returning_memory
+
 
 class Feistel:
     """A keyed permutation of range(size)."""
@@ -250,6 +252,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", inverse: b
     at = kept.index(text_col)
     schema = T.StructType([*source.schema.fields, T.StructField("n_replaced", T.LongType())])
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_key = Pseudonymiser(key, inverse)
         for batch in batches:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from smoothspan.llm.bytescan import blocks, text_buffers, words
+from smoothspan.llm.workers import returning_memory
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class ToxicSettings:
     purity: float = 0.8
     max_terms: int = 3000
     window: int = 160
-    known_words: int = 400_000
+    known_words: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -241,6 +242,7 @@ def fit_toxicity(
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")
 
+    @returning_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
         n = [0, 0]
@@ -279,6 +281,7 @@ def fit_toxicity(
     terms = sorted(terms, key=lambda g: (-strength(g), g))[: settings.max_terms]
     model = ToxicModel(tuple(terms), tuple(stems), settings=settings)
 
+    @returning_memory
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ToxicScorer(model)
         for batch in batches:
@@ -296,6 +299,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     """(id, score, abusive, misspelled, quoted): the score and the numbers of hits of each kind."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ToxicScorer(model)
         for batch in batches:
@@ -314,6 +318,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5, text_
     """The rows, with all their columns, that score below the threshold."""
     at = docs.columns.index(text_col)
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ToxicScorer(model)
         for batch in batches:

@@ -40,6 +40,7 @@ from smoothspan.llm.blockwise import overlaps
 from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
 from smoothspan.llm.components import connected_components
 from smoothspan.llm.scratch import cut
+from smoothspan.llm.workers import returning_memory
 
 #: Bits of the tables of seen tokens; their size does not depend on the data (32 MB each).
 TABLE_BITS = 28
@@ -104,6 +105,7 @@ def seen_twice(docs: DataFrame, settings: LineSettings) -> np.ndarray:
     """The packed bit table of token slots that were hit more than once in all documents."""
     size = (1 << TABLE_BITS) // 8
 
+    @returning_memory
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in batches:
@@ -145,6 +147,7 @@ def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> D
     without those seen once, and the sketch is null if none is left."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
         for batch in batches:
@@ -190,6 +193,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, settings: LineSettings) -> Da
     ids = cut(wanted.select("doc").distinct(), "lines-wanted")
     few = F.broadcast(ids) if ids.count() <= settings.broadcast_rows else ids
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))

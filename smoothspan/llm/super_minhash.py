@@ -36,6 +36,7 @@ from smoothspan.llm.blockwise import overlaps
 from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
 from smoothspan.llm.components import connected_components
 from smoothspan.llm.scratch import cut
+from smoothspan.llm.workers import returning_memory
 
 HASH_BITS = 50
 
@@ -137,6 +138,7 @@ def _list(values: np.ndarray, width: int) -> pa.Array:
 def signatures(docs: DataFrame, settings: MinHashSettings, id_col: str, text_col: str) -> DataFrame:
     """(node, n_shingles, low, high, bands) of every row."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, low, high, bands = sign_column(batch.column(1), settings)
@@ -152,6 +154,7 @@ def signatures(docs: DataFrame, settings: MinHashSettings, id_col: str, text_col
 def shingles_of(docs: DataFrame, settings: MinHashSettings) -> DataFrame:
     """(node, items): the full set of every row of (node, text)."""
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from smoothspan.llm.workers import returning_memory
+
 UNKNOWN = "und"
 
 
@@ -120,6 +122,7 @@ def identify_languages(
     """(id, lang_pred, score, margin, rejected) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ZstdClassifier(dictionaries, settings)
         for batch in batches:
