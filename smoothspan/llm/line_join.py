@@ -214,6 +214,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, settings: LineSettings) -> Da
     texts = docs.join(few, docs["doc"].eqNullSafe(few["doc"]), "left_semi").select("doc", "text")
     lines = texts.mapInArrow(run, f"doc {kind}, line int, low long, high long, items array<long>")
     keys = wanted.select(F.col("low").alias("l"), F.col("high").alias("h"), F.col("doc").alias("d"), F.col("line").alias("n"))
+    if keys.count() <= settings.broadcast_rows:  # else the sets of all lines of these documents are shuffled
+        keys = F.broadcast(keys)
     on = (lines["low"] == keys["l"]) & (lines["high"] == keys["h"]) & lines["doc"].eqNullSafe(keys["d"]) & (lines["line"] == keys["n"])
     return lines.join(keys, on, "left_semi")
 
