@@ -1,13 +1,14 @@
 """Byte-level BPE by reuse of content-defined chunks.
 
-A rolling hash over the bytes before a white-space byte decides where a text may be cut, so equal passages are cut alike in
+A rolling hash over the bytes before a white-space byte decides where a text is cut, so equal passages are cut alike in
 every document. Each distinct chunk of an Arrow batch is encoded once (and kept in a bounded cache for the later batches of
 the task); the ids of a document are put together from its chunks.
 
-Joins are repaired before they are used. A cut stands only where the pre-tokenizer provably ends a piece: between a character
-that is no white space and white space after it. At any other cut (runs of white space, characters that may be Unicode white
-space) the two chunks are joined again, with their neighbours as far as needed, and the whole is re-encoded, so that the ids
-agree with those of the uncut text. ``verify_joins`` re-encodes every join as a check and is what the tests run.
+A join is sound where the pre-tokenizer provably ends a piece: between a character that is no white space and white space
+after it. Any other join (runs of white space, characters that may be Unicode white space) is doubtful and is repaired: the
+bytes between the sound places next to it, on both sides, are encoded again, and their ids replace those that the chunks gave
+for these bytes. If the ids of a chunk don't end at such a place, the chunks around the join are encoded as one. So the ids
+agree with those of the uncut text; ``verify_joins`` compares them and is what the tests run.
 
 The exchange of chunks between machines is left out on purpose: it would shuffle each text and its ids once more, which is
 more than encoding costs. Reuse is within a task, and memory is bounded by the batch and the cache.
@@ -46,15 +47,24 @@ class ChunkSettings:
     ``cache_bytes``: most text that a worker keeps encoded between batches."""
 
     window: int = 4
-    mask_bits: int = 0
+    mask_bits: int = 4
     cache_bytes: int = 6 << 20
 
 
-def cut_places(raw: np.ndarray, offsets: np.ndarray, settings: ChunkSettings) -> np.ndarray:
-    """Byte positions where chunks start: every row start and every safe content-defined cut."""
-    white = _WHITE[raw]
-    at = np.flatnonzero(white)
+def cut_places(raw: np.ndarray, offsets: np.ndarray, settings: ChunkSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte positions where chunks start (every row start and every content-defined cut), whether the join there is doubtful,
+    and all sound places, cut or not, with the row starts."""
+    at = np.flatnonzero(_WHITE[raw])
     at = at[at > 0]
+    before = raw[at - 1]
+    lead = raw[np.maximum(at - 2, 0)]
+    # ASCII that is neither white space nor a control, or a two-byte character from U+00C0 on: never white space.
+    safe = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead <= 0xDF))
+    rows = offsets[:-1][offsets[:-1] < offsets[1:]]
+    sound = np.zeros(len(raw), dtype=bool)
+    sound[at[safe]] = True
+    sound[rows] = True
+    starts = np.zeros(len(raw), dtype=bool)
     if settings.mask_bits:
         rolled = np.zeros(len(at), dtype=np.uint32)
         with np.errstate(over="ignore"):
@@ -62,14 +72,10 @@ def cut_places(raw: np.ndarray, offsets: np.ndarray, settings: ChunkSettings) ->
                 rolled = rolled * np.uint32(0x01000193) + raw[np.maximum(at - k, 0)].astype(np.uint32)
             rolled ^= rolled >> np.uint32(15)
         at = at[(rolled & np.uint32((1 << settings.mask_bits) - 1)) == 0]
-    before = raw[at - 1]
-    lead = raw[np.maximum(at - 2, 0)]
-    # ASCII that is neither white space nor a control, or a two-byte character from U+00C0 on: never white space.
-    safe = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead <= 0xDF))
-    starts = np.zeros(len(raw), dtype=bool)
-    starts[at[safe]] = True
-    starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-    return np.flatnonzero(starts)
+    starts[at] = True
+    starts[rows] = True
+    places = np.flatnonzero(starts)
+    return places, ~sound[places], np.flatnonzero(sound)
 
 
 class ChunkEncoder:
@@ -145,7 +151,7 @@ class ChunkEncoder:
         """(first row, ids text, decoded bytes, number of ids) for runs of rows."""
         raw, offsets = text_buffers(column)
         for first, rows, part, at in blocks(raw, offsets):
-            places = cut_places(part, at, self.settings)
+            places, doubtful, sound = cut_places(part, at, self.settings)
             if not len(places):
                 yield first, [b""] * rows, [b""] * rows, np.zeros(rows, np.int64)
                 continue
@@ -154,6 +160,14 @@ class ChunkEncoder:
             coded = chunk.dictionary_encode()
             found = self.chunks(coded.dictionary.to_pylist())
             index = coded.indices
+            if doubtful.any():
+                index = index.to_numpy().copy()
+                heads = np.flatnonzero(~doubtful)
+                ends = np.append(heads[1:], len(places))
+                many = ends - heads > 1
+                found += self._repaired(part.tobytes(), np.append(places, len(part)), sound, list(zip(heads[many].tolist(), ends[many].tolist())), [found[i] for i in index.tolist()])
+                index[heads[many]] = np.arange(len(found) - many.sum(), len(found))
+                index, places = pa.array(index[heads]), places[heads]
             per_row = pa.array(np.searchsorted(places, at).astype(np.int32))
             ids = pc.binary_join(pa.ListArray.from_arrays(per_row, pa.array([x[0] for x in found], pa.binary()).take(index)), b",")
             back = pc.binary_join(pa.ListArray.from_arrays(per_row, pa.array([x[1] for x in found], pa.binary()).take(index)), b"")
@@ -161,6 +175,50 @@ class ChunkEncoder:
             spans = per_row.to_numpy()
             yield first, ids.to_pylist(), back.to_pylist(), counts[spans[1:]] - counts[spans[:-1]]
 
+    def _repaired(self, data: bytes, bounds: np.ndarray, sound: np.ndarray, runs: list[tuple[int, int]], found: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes, int]]:
+        """One entry for each run (first chunk, chunk after the last) of chunks with doubtful joins between them.
+
+        ``bounds``: where chunks start, and the end; ``found``: the entries of the chunks as they were cut."""
+        joins = np.concatenate([bounds[a + 1 : b] for a, b in runs])
+        last = np.repeat(bounds[[b for _, b in runs]], [b - a - 1 for a, b in runs])
+        right = np.searchsorted(sound, joins)
+        low = sound[right - 1].tolist()
+        high = np.minimum(np.append(sound, len(data))[right], last).tolist()
+        window = dict(zip(zip(low, high), self.chunks([data[x:y].decode() for x, y in zip(low, high)])))
+        spans, out, bounds = list(zip(low, high)), [], bounds.tolist()
+        done = 0
+        for a, b in runs:
+            mine = list(dict.fromkeys(spans[done : done + b - a - 1]))
+            done += b - a - 1
+            ids, back, sure = [], [], True
+            todo = iter([*mine, (bounds[b], bounds[b])])
+            x, y = next(todo)
+            # The chunks' own ids, but for those inside a window, whose ids come from the window.
+            for k in range(a, b):
+                at = bounds[k]
+                for i in found[k][0].split(b",") if found[k][2] else ():
+                    end = at + len(self.piece[int(i)])
+                    while at >= y and y < bounds[b]:
+                        x, y = next(todo)
+                    if end <= x:
+                        ids.append(i)
+                        back.append(self.piece[int(i)])
+                    elif at < x:
+                        sure = False
+                    else:
+                        if at == x:
+                            ids.append(window[x, y][0])
+                            back.append(window[x, y][1])
+                        sure = sure and end <= y
+                    at = end
+                sure = sure and at == bounds[k + 1]
+            if sure:
+                ids = b",".join(ids)
+                out.append((ids, b"".join(back), ids.count(b",") + 1))
+            else:
+                out.extend(self.chunks([data[bounds[a] : bounds[b]].decode()]))
+        return out
+
     def clear(self) -> None:
         self.cache, self.cached = {}, 0
 

@@ -44,6 +44,30 @@ def test_bpe_is_exact(bits):
         assert encoder.verify_joins(text), repr(text)
 
 
+def test_bpe_chunks_are_content_defined_and_joins_repaired():
+    encoder = ChunkEncoder(registry.vocabulary_path())
+    r = random.Random(3)
+    passage = " ".join(f"word{r.randrange(5000)} of" for _ in range(300))
+    assert encoder.verify_joins("one start " + passage)
+    first = set(encoder.cache)
+    assert encoder.verify_joins("quite another beginning of it: " + passage)
+    assert len(set(encoder.cache) - first) <= 3  # the passage is cut alike and reused
+    assert sum(len(t.split()) for t in first) > 4 * len(first)
+    encoder = ChunkEncoder(registry.vocabulary_path(), ChunkSettings(mask_bits=1))
+    repaired, plain = [], encoder._repaired
+
+    def spy(data, bounds, sound, runs, found):
+        out = plain(data, bounds, sound, runs, found)
+        repaired.extend((b",".join(f[0] for f in found[a:b]), o[0]) for (a, b), o in zip(runs, out, strict=True))
+        return out
+
+    encoder._repaired = spy
+    for _ in range(200):
+        gap = ["\n\n", "  ", " \t ", "\u3000 ", "。 ", "”\n", "   \n", "      "]
+        assert encoder.verify_joins("".join(f"{r.choice(['tale', 'été', '日本', 'x1', '<|endoftext|>'])}{r.choice(gap)}" for _ in range(60)))
+    assert any(a != b for a, b in repaired) and any(a == b for a, b in repaired)
+
+
 def test_bpe_query_digests(spark, odd, empty):
     from tokenizers import Tokenizer
 
