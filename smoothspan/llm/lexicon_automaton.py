@@ -261,8 +261,9 @@ def fit_toxicity(
         )
 
     counted = sample.mapInArrow(count, "gram string, n long, toxic long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    kept = counted.where((F.col("gram").isin("", " ")) | ((F.col("toxic") >= settings.min_support) & (F.col("toxic") >= settings.purity * F.col("n"))))
-    found = {r["gram"]: (r["n"], r["toxic"]) for r in kept.orderBy(F.desc("toxic"), "gram").limit(4 * settings.max_terms + 2).collect()}
+    of_class = F.col("gram").isin("", " ")  # the numbers of documents of each class, which no limit may cut
+    kept = counted.where(of_class | ((F.col("toxic") >= settings.min_support) & (F.col("toxic") >= settings.purity * F.col("n"))))
+    found = {r["gram"]: (r["n"], r["toxic"]) for r in kept.orderBy(F.desc(of_class), F.desc("toxic"), "gram").limit(4 * settings.max_terms + 2).collect()}
     clean, dirty = found.pop("", (0, 0))[0], found.pop(" ", (0, 0))[0]
     if not clean or not dirty:
         share = (dirty + 1e-9) / (clean + dirty + 1e-9) if dirty else 1e-9

@@ -11,7 +11,7 @@ from smoothspan.llm import registry
 from smoothspan.llm.bytescan import words
 from smoothspan.llm.chunk_bpe import ChunkEncoder, ChunkSettings, decode_bytes, digest_documents, encode_documents
 from smoothspan.llm.feistel_pii import Feistel, Pseudonymiser, luhn_digit, pseudonymise, pseudonymise_text, reveal
-from smoothspan.llm.lexicon_automaton import LexiconAutomaton, ToxicModel, edits_allowed, fit_toxicity, is_quoted, score_documents
+from smoothspan.llm.lexicon_automaton import LexiconAutomaton, ToxicModel, ToxicSettings, edits_allowed, fit_toxicity, is_quoted, score_documents
 from smoothspan.llm.zstd_language import fit_dictionaries, identify_languages
 
 KEY = b"test key"
@@ -203,6 +203,15 @@ def test_toxicity(spark, sf_dir, odd, empty):
     assert isinstance(none, ToxicModel)
 
 
+def test_toxicity_with_more_grams_than_the_limit(spark):
+    docs = [(k, f"idiot scum moron {' '.join(f'bad{j}' for j in range(20))}" if k % 2 else "you friend go") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = fit_toxicity(df, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"), ToxicSettings(max_terms=3))
+    assert 0 < len(model.terms) + len(model.stems) <= 6
+    out = {r["doc_id"]: r["score"] for r in score_documents(df, model).collect()}
+    assert all((s > 0.5) == (k % 2 == 1) for k, s in out.items())
+
+
 def test_scorer_words_without_spaces_do_not_crash(spark):
     from smoothspan.llm.lexicon_automaton import ToxicScorer
 
