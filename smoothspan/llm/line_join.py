@@ -2,12 +2,13 @@
 
 A line is the set of its ``shingle``-word shingles (ASCII white space separates words, A-Z is lower-cased). Two lines match if
 the Jaccard similarity of their sets is at least ``percent`` / 100. A line is removed if any earlier line, in the order of
-(document id, line number), matches it. Lines with fewer than ``shingle`` words are never matched.
+(document id, line number), matches it. With ``short_lines`` a line of fewer than ``shingle`` words has one token, its whole word
+sequence, and so matches equal ones; without, such lines are never matched.
 
 The join: the tokens (shingles) of a line are ordered by rarity: those seen once in all documents before those seen more often,
 ties by hash, so every order is the same everywhere and the join is exact. A line is indexed under its prefix, the
 n - ceil(t * n) + 1 rarest of its n tokens; matching lines share a prefix token, and a token that was seen once is shared by no
-line, so it is not indexed. How often a token was seen comes from two bit tables of fixed size over all tokens of all
+line, so it is not indexed; nor is the token of a line that has only one, whose matches are all of its class. How often a token was seen comes from two bit tables of fixed size over all tokens of all
 documents: tokens that meet in a table count as seen more often, which costs time and no result. With more tokens than bits
 the tables stop to prune, and all prefixes are shuffled. Pairs must pass the length filter, the positional filter (tokens left
 after the shared one on both sides) and a 64-bit sketch of the sets that bounds their difference, all of which only drop pairs
@@ -49,11 +50,13 @@ SLICES = 32
 
 @dataclass(frozen=True)
 class LineSettings:
-    """``short_list``: lists up to this length are joined with themselves, longer ones in two passes (the result is the same).
+    """``short_lines``: whether lines of fewer than ``shingle`` words take part, by their whole word sequence.
+    ``short_list``: lists up to this length are joined with themselves, longer ones in two passes (the result is the same).
     ``broadcast_rows``: most rows that are broadcast; larger tables are joined by a shuffle."""
 
     percent: int = 75
     shingle: int = 5
+    short_lines: bool = False
     short_list: int = 64
     block_items: int = 16_384
     broadcast_rows: int = 500_000
@@ -64,7 +67,7 @@ def _slots(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)
 
 
-def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int, short_lines: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line, token) of the distinct tokens of each line that has some, ordered by line; then row and number of every line."""
     value, start, row = words(raw, offsets)
     breaks = np.flatnonzero(raw == 10)
@@ -75,6 +78,17 @@ def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
             acc = acc * np.uint64(0x100000001B3) + value[k : k + len(acc)]
         inside = np.flatnonzero(at[: len(acc)] == at[size - 1 : size - 1 + len(acc)]) if len(acc) else np.zeros(0, np.int64)
         token, line = mix(acc[inside]), at[inside]
+        if short_lines and len(at):
+            first = _starts(at)
+            length = np.diff(np.append(first, len(at)))
+            first, length = first[length < size], length[length < size]
+            acc = np.zeros(len(first), dtype=np.uint64)
+            for k in range(size - 1):
+                more = length > k
+                acc[more] = acc[more] * np.uint64(0x100000001B3) + value[first[more] + k]
+            line = np.concatenate([line, at[first]])
+            order = np.argsort(line, kind="stable")
+            token, line = np.concatenate([token, mix(acc)])[order], line[order]
     # Repeats within a line are rare: only lines that may have some are sorted.
     order = np.argsort(token, kind="stable")
     same = np.flatnonzero((token[order][1:] == token[order][:-1]) & (line[order][1:] == line[order][:-1]))
@@ -111,7 +125,7 @@ def seen_twice(docs: DataFrame, settings: LineSettings) -> np.ndarray:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for _, _, part, at in blocks(raw, offsets):
-                _, token, _, _ = _line_sets(part, at, settings.shingle)
+                _, token, _, _ = _line_sets(part, at, settings.shingle, settings.short_lines)
                 token = np.sort(token >> np.uint64(64 - TABLE_BITS)) << np.uint64(64 - TABLE_BITS)
                 again = np.append(False, token[1:] == token[:-1])
                 place, bit = _slots(token)
@@ -153,7 +167,7 @@ def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> D
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for first, rows, part, at in blocks(raw, offsets):
-                line, token, owner, number = _line_sets(part, at, settings.shingle)
+                line, token, owner, number = _line_sets(part, at, settings.shingle, settings.short_lines)
                 if not len(line):
                     continue
                 starts = _starts(line)
@@ -170,7 +184,7 @@ def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> D
                 index = np.repeat(np.arange(len(starts)), size)[order]
                 count = np.bincount(index, minlength=len(starts))
                 position = np.arange(len(order)) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + unique[index]
-                chosen = position < prefix[index]
+                chosen = (position < prefix[index]) & ((size[index] > 1) | (settings.percent <= 50))
                 ends = np.append(0, np.cumsum(np.bincount(index[chosen], minlength=len(starts)))).astype(np.int32)
                 entries = pa.StructArray.from_arrays(
                     [pa.array(token[order][chosen].view(np.int64)), pa.array(position[chosen].astype(np.int32))], names=["word", "place"]
@@ -198,7 +212,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, settings: LineSettings) -> Da
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for first, rows, part, at in blocks(raw, offsets):
-                line, token, owner, number = _line_sets(part, at, settings.shingle)
+                line, token, owner, number = _line_sets(part, at, settings.shingle, settings.short_lines)
                 if not len(line):
                     continue
                 starts = _starts(line)

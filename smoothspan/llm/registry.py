@@ -12,7 +12,7 @@ from smoothspan.llm.chunk_bpe import digest_documents
 from smoothspan.llm.containment import contained_items
 from smoothspan.llm.feistel_pii import pseudonymise
 from smoothspan.llm.lexicon_automaton import fit_toxicity, score_documents
-from smoothspan.llm.line_join import line_report
+from smoothspan.llm.line_join import LineSettings, line_report
 from smoothspan.llm.paragraph_iblt import version_fingerprints
 from smoothspan.llm.quote_links import link_conversations
 from smoothspan.llm.super_minhash import near_duplicates
@@ -46,7 +46,7 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(_documents(spark, sf_dir))
+    return line_report(_documents(spark, sf_dir), LineSettings(short_lines=True))
 
 
 def op4_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,22 @@ def test_lines_of_documents(docs, texts, settings):
     assert got == brute.duplicate_lines(texts)
 
 
+def test_short_lines_of_the_query(spark, sf_dir, texts):
+    gone, seen = brute.duplicate_lines(texts), set()
+    for i, text in texts:
+        for n, line in enumerate((text or "").split("\n")):
+            w = tuple(brute.words(line))
+            if 0 < len(w) < 5:
+                if w in seen:
+                    gone.add((i, n))
+                seen.add(w)
+    got = {r["doc_id"]: r["text"] for r in registry.op3_line_join(spark, sf_dir).collect()}
+    assert got == {i: brute.without(t, {n for d, n in gone if d == i}) for i, t in texts}
+    df = spark.createDataFrame([(1, "Home\nA b\n\nhome"), (2, "a  B\nb a\n\na b c d\na b c d e"), (3, "a b c d\nA b c d e")], "doc_id long, text string")
+    got = {(r["doc"], r["line"]) for r in duplicate_lines(df, LineSettings(short_lines=True)).collect()}
+    assert got == {(1, 3), (2, 0), (3, 0), (3, 1)}
+
+
 def test_lines_of_near_copies(spark):
     rows = list(enumerate(varied(4, 150, 40, 4)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
