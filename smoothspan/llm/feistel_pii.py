@@ -5,7 +5,13 @@ mapped to a number below the size of its format, permuted by a Feistel network w
 same layout. The permutation depends on the key and the kind only, so equal values get equal pseudonyms in every document,
 different values different ones, and ``reveal`` inverts it. Results of validated formats validate again.
 
-Kinds: payment cards (Luhn), IBANs (mod 97), US social security numbers, North American phone numbers, IPv4 addresses, dates
+If the longest candidate at a place is refused, shorter ones (cards, IBANs) and the remaining kinds are tried there, then the
+next places. Where an accepted value touches a refused candidate, a pseudonym after which the text would be read otherwise is
+permuted again, so that ``reveal`` stays exact; only there can equal values get different pseudonyms.
+
+Kinds: payment cards (Luhn), IBANs (mod 97, length by country), US social security numbers, North American phone numbers (with
+``+`` or brackets also those outside the numbering plan, which stay outside), IPv4 addresses (all; those with a first octet of 0
+or above 223 stay among themselves), dates
 (one permutation of the days 1900-01-01 to 2099-12-31 for all layouts), and, by the same permutation over their character
 classes, the local part of e-mail addresses and marked credentials (access keys, ``password=``, ``token = "..."``).
 
@@ -88,6 +94,21 @@ def _relaid(layout: str, digits: str) -> str:
 _EPOCH, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
+#: Lengths of IBANs by country; of other countries any length is accepted.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        item.split(":")
+        for item in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+            "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+            "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
+
+
 class Pseudonymiser:
     def __init__(self, key: bytes, inverse: bool = False):
         self.key, self.inverse = key, inverse
@@ -128,7 +149,7 @@ class Pseudonymiser:
 
     def iban(self, text: str) -> str | None:
         plain = text.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or self._mod97(plain[4:] + plain[:4]) != 1:
+        if not 15 <= len(plain) <= 34 or IBAN_LENGTHS.get(plain[:2], len(plain)) != len(plain) or self._mod97(plain[4:] + plain[:4]) != 1:
             return None
         account = self.by_class("iban" + plain[:2], plain[4:], _classes(plain[4:]))
         new = f"{plain[:2]}{98 - self._mod97(account + plain[:2] + '00'):02d}{account}"
@@ -152,8 +173,15 @@ class Pseudonymiser:
     def phone(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
         country, digits = digits[:-10], digits[-10:]
-        if len(digits) != 10 or country not in ("", "1") or digits[0] in "01" or digits[3] in "01":
+        if len(digits) != 10 or country not in ("", "1"):
             return None
+        if digits[0] in "01" or digits[3] in "01":
+            if not text.startswith(("+", "(")) and "(" not in text:
+                return None
+            x = self.permute("phone outside the plan", int(digits), 10**10)
+            while x // 10**9 > 1 and x // 10**6 % 10 > 1:  # stay outside
+                x = self.permute("phone outside the plan", x, 10**10)
+            return _relaid(text, f"{country}{x:010d}")
         x = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
         x = self.permute("phone", x, 800 * 800 * 10_000)
         x, line = divmod(x, 10_000)
@@ -162,11 +190,15 @@ class Pseudonymiser:
 
     def ipv4(self, text: str) -> str | None:
         parts = text.split(".")
-        if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts) or not 1 <= int(parts[0]) <= 223:
+        if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
         x = 0
         for p in parts:
             x = x * 256 + int(p)
+        if not 1 <= int(parts[0]) <= 223:
+            x = self.permute("ipv4 of special use", x - (223 << 24) if x >> 24 else x, 33 << 24)
+            x += 223 << 24 if x >> 24 else 0
+            return ".".join(str(x >> k & 255) for k in (24, 16, 8, 0))
         low = 1 << 24
         x = low + self.permute("ipv4", x - low, 223 << 24)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
@@ -211,7 +243,7 @@ class Pseudonymiser:
         return text[: found.start()] + self.by_class("secret", value, ["0123456789abcdef"] * len(value) if hexadecimal else _classes(value)) + text[found.end() :]
 
 
-#: Order matters: the first kind that matches at a place is tried; if its validator refuses, the text stays as it is.
+#: Order matters: the kinds that match at a place are tried in this order.
 KINDS: dict[str, str] = {
     "credential": r"\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9]{8,}\"?",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
@@ -228,21 +260,73 @@ _HINT = re.compile(r"[0-9@]")
 _MARK = re.compile(r"password|passwd|secret|token|api_key|AKIA")
 
 
+#: Kinds that are tried shorter, with what must hold at their end.
+_SHORTER = {"iban": re.compile(r"\b"), "card": re.compile(r"(?![\w-])")}
+_KIND = {k: re.compile(v) for k, v in KINDS.items()}
+_ORDER = list(KINDS)
+
+
+def _candidates(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """(kind, end) of all candidates at the place of a match, in the order in which they are tried."""
+    s = m.start()
+    for kind in _ORDER[_ORDER.index(m.lastgroup) :]:
+        found = m if kind == m.lastgroup else _KIND[kind].match(text, s)
+        if found is None:
+            continue
+        yield kind, found.end()
+        if kind in _SHORTER:
+            for end in range(found.end() - 1, s + 12, -1):
+                if _SHORTER[kind].match(text, end) and _KIND[kind].fullmatch(text, s, end):
+                    yield kind, end
+
+
+def _read(text: str, with_key: Pseudonymiser) -> tuple[list[tuple[int, int, str]], list[str], bool]:
+    """The accepted values (start, end, kind), their pseudonyms, and whether one of them touches a refused candidate."""
+    spans, new, touched, at, refused = [], [], False, 0, 0
+    while (m := _SEARCH.search(text, at)) is not None:
+        s = m.start()
+        at = s + 1
+        for kind, end in _candidates(text, m):
+            value = getattr(with_key, kind)(text[s:end])
+            if value is not None:
+                # An address may change its length, which changes candidates that end in it.
+                touched = touched or refused > s or (kind == "ipv4" and s > 1 and text[s - 1] in " -" and text[s - 2] in _DIGIT)
+                spans.append((s, end, kind))
+                new.append(value)
+                at = end
+                break
+            refused = max(refused, end)
+    return spans, new, touched
+
+
+def _joined(gaps: list[str], values: list[str]) -> str:
+    return "".join(x for pair in zip(gaps, [*values, ""], strict=True) for x in pair)
+
+
 def pseudonymise_text(text: str, with_key: Pseudonymiser) -> tuple[str, int]:
     """The text with pseudonyms, and how many values were replaced."""
     if not _HINT.search(text) and not _MARK.search(text):
         return text, 0
-    count = 0
-
-    def swap(m: re.Match) -> str:
-        nonlocal count
-        new = getattr(with_key, m.lastgroup)(m.group())
-        if new is None:
-            return m.group()
-        count += 1
-        return new
-
-    return _SEARCH.sub(swap, text), count
+    spans, new, touched = _read(text, with_key)
+    if not spans:
+        return text, 0
+    bounds = [0, *(x for s, e, _ in spans for x in (s, e)), len(text)]
+    gaps = [text[a:b] for a, b in zip(bounds[::2], bounds[1::2])]
+    if not touched:
+        return _joined(gaps, new), len(spans)
+    # One value after the other, and backwards for the inverse, so that both see the same text around a value.
+    values = [text[s:e] for s, e, _ in spans]
+    for k in reversed(range(len(spans))) if with_key.inverse else range(len(spans)):
+        while True:
+            values[k] = getattr(with_key, spans[k][2])(values[k])
+            now, _, still = _read(_joined(gaps, values), with_key)
+            at, want = 0, []
+            for gap, value, (_, _, kind) in zip(gaps, values, spans):
+                want.append((at + len(gap), at + len(gap) + len(value), kind))
+                at += len(gap) + len(value)
+            if still and now == want:
+                break
+    return _joined(gaps, values), len(spans)
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", inverse: bool = False) -> DataFrame:
