@@ -3,7 +3,8 @@
 A list is a log of dated entries: at a time, a list blocks (``action`` 1) or clears (0) a pattern, which is a host or a parent
 domain. The entries of one list and pattern become validity intervals: an entry holds from its time until the next one. Every
 capture is evaluated against the entries active at its fetch time, found by an as-of join under its host and all parent
-domains; the most specific pattern decides, between lists the first name.
+domains. The most specific pattern decides: if any list blocks it then, the capture is blocked (the first such list by name is
+reported), and it is cleared only if no list does.
 
 The as-of join is an equi-join: intervals are cut into periods of ``period_s`` seconds, and captures carry their period, so a
 host with a third of all captures and a long history meets, in each period, only the entries of that period. Open intervals
@@ -13,7 +14,7 @@ together before; the decision is aggregated by capture.
 All steps are DataFrame expressions. Defined results: captures with a null or unreadable URL or no fetch time match nothing;
 entries with a null pattern, list or time are ignored; entries of one list, pattern and time count as one, blocking if one of
 them blocks; an entry holds from its own second on; repeated captures get repeated results (rows without id stay apart by their URL and
-time); no entries or no captures give unmatched or no rows. Extra columns are ignored.
+time); very long URLs are read whole; no entries or no captures give unmatched or no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def temporal_join(captures: DataFrame, entries: DataFrame, period_s: int = 30 *
     spans = spans.withColumn("period", F.explode(F.sequence(period(F.greatest("start", F.lit(low))), period(F.least(F.col("end") - 1, F.lit(high))))))
     asked = held.where("host <> '' AND at IS NOT NULL").select("id", "url", "at", period(F.col("at")).alias("period"), F.posexplode(domains_of(F.col("host"))).alias("depth", "pattern"))
     met = asked.join(spans, ["pattern", "period"]).where("at >= start AND at < end")
-    best = met.groupBy("id", "url", "at").agg(F.min(F.struct("depth", "list", "pattern", "start", "action")).alias("b"))
+    best = met.groupBy("id", "url", "at").agg(F.min(F.struct("depth", (F.lit(0) - F.col("action")).alias("clears"), "list", "pattern", "start", "action")).alias("b"))
     best = best.select(F.col("id").alias("id_"), F.col("url").alias("url_"), F.col("at").alias("at_"), F.col("b.pattern").alias("pattern"), F.col("b.list").alias("list"), F.col("b.start").alias("listed_at"), (F.col("b.action") == 1).alias("blocked"))
     on = held["id"].eqNullSafe(best["id_"]) & (held["url"] == best["url_"]) & (held["at"] == best["at_"])
     out = held.join(best, on, "left")
@@ -108,7 +109,7 @@ asked AS (
 ), spans AS (SELECT *, lead(listed_at) OVER (PARTITION BY list, pattern ORDER BY listed_at) AS until FROM entries),
 met AS (
   SELECT a.id, a.url, a.fetched_at, s.pattern, s.list, s.listed_at, s.action = 1 AS blocked,
-         row_number() OVER (PARTITION BY a.id, a.url, a.fetched_at ORDER BY a.depth, s.list) AS r
+         row_number() OVER (PARTITION BY a.id, a.url, a.fetched_at ORDER BY a.depth, s.action DESC, s.list) AS r
   FROM asked a JOIN spans s ON a.pattern = s.pattern AND a.fetched_at >= s.listed_at AND (s.until IS NULL OR a.fetched_at < s.until)
 )
 SELECT c.id, c.url, c.fetched_at, c.host, m.pattern, m.list, m.listed_at, coalesce(m.blocked, false) AS blocked
