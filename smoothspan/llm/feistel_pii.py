@@ -12,15 +12,18 @@ permuted again, so that ``reveal`` stays exact; only there can equal values get
 Kinds: payment cards (Luhn), IBANs (mod 97, length by country), US social security numbers, North American phone numbers (with
 ``+`` or brackets also those outside the numbering plan, which stay outside), IPv4 addresses (all; those with a first octet of 0
 or above 223 stay among themselves), dates
-(one permutation of the days 1900-01-01 to 2099-12-31 for all layouts), and, by the same permutation over their character
+(one permutation of the days 1900-01-01 to 2099-12-31 for all layouts, in which days of the month above 12 stay among
+themselves, as they tell d/m/y from m/d/y), and, by the same permutation over their character
 classes, the local part of e-mail addresses and marked credentials (access keys, ``password=``, ``token = "..."``).
 
-Defined results: null stays null, a text without validated values is returned as it is; repeated rows give repeated results;
-other columns are kept.
+Defined results: null stays null, a text without validated values is returned as it is; texts and values of any length are
+read and replaced whole; of candidates that start at one place the first kind of ``KINDS`` that validates is taken; repeated
+rows give repeated results; an empty table gives an empty one; other columns are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import math
@@ -46,7 +49,11 @@ class Feistel:
 
     def _round(self, k: int, value: int) -> int:
         data = bytes([k]) + value.to_bytes(self.width, "big")
-        return int.from_bytes(hashlib.blake2b(data, key=self.seed, digest_size=min(64, self.width + 8)).digest(), "big")
+        if self.width <= 56:
+            found = hashlib.blake2b(data, key=self.seed, digest_size=self.width + 8).digest()
+        else:  # as long as the half, so that every character of a long value is reached
+            found = hashlib.shake_256(self.seed + data).digest(self.width + 8)
+        return int.from_bytes(found, "big")
 
     def _forward(self, x: int) -> int:
         left, right = divmod(x, self.b)
@@ -92,6 +99,11 @@ def _relaid(layout: str, digits: str) -> str:
 
 
 _EPOCH, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
+_EARLY = [k for k in range(_DAYS) if (_EPOCH + dt.timedelta(days=k)).day <= 12]
+_LATE = [k for k in range(_DAYS) if (_EPOCH + dt.timedelta(days=k)).day > 12]
+
+#: Characters that are permuted as one number.
+BLOCK = 256
 
 
 #: Lengths of IBANs by country; of other countries any length is accepted.
@@ -122,6 +134,8 @@ class Pseudonymiser:
 
     def by_class(self, kind: str, text: str, alphabets: list[str | None]) -> str:
         """Permutes the characters that have an alphabet as one number in mixed radix."""
+        if len(text) > BLOCK:
+            return self._in_blocks(kind, text, alphabets)
         x, size = 0, 1
         for c, letters in zip(text, alphabets, strict=True):
             if letters:
@@ -137,6 +151,20 @@ class Pseudonymiser:
             out.append(c)
         return "".join(reversed(out))
 
+    def _in_blocks(self, kind: str, text: str, alphabets: list[str | None]) -> str:
+        """Blocks of a long value are permuted one by one, forwards under the block before and then backwards under the block
+        after, so that each depends on the whole value; time grows with its length, not with the square."""
+        count = -(-len(text) // BLOCK)
+        blocks = [text[k * BLOCK : (k + 1) * BLOCK] for k in range(count)]
+        forward = [(k, k - 1) for k in range(1, count)]
+        backward = [(k, k + 1) for k in reversed(range(count - 1))]
+        steps = [("first", 0, 0), *(("forward", *x) for x in forward), *(("backward", *x) for x in backward)]
+        for name, k, other in reversed(steps) if self.inverse else steps:
+            tweak = hashlib.blake2b(blocks[other].encode(), key=self.key[:64], digest_size=16).hexdigest() if other != k else ""
+            one = Pseudonymiser(self.key, self.inverse)  # its permutations are of one use
+            blocks[k] = one.by_class(f"{kind}:{name}:{k}:{tweak}", blocks[k], alphabets[k * BLOCK : (k + 1) * BLOCK])
+        return "".join(blocks)
+
     # Each method takes a match's text and returns its pseudonym, or None if the text isn't valid.
 
     def card(self, text: str) -> str | None:
@@ -217,12 +245,11 @@ class Pseudonymiser:
         x = (day - _EPOCH).days
         if not 0 <= x < _DAYS:
             return None
-        walk = self.permute("date", x, _DAYS)
-        new = _EPOCH + dt.timedelta(days=walk)
-        # Between slashes, day first is told by a day above 12: stay among those.
-        while "/" in text and order == "dmy" and new.day <= 12:
-            walk = self.permute("date", walk, _DAYS)
-            new = _EPOCH + dt.timedelta(days=walk)
+        # Between slashes a first number above 12 tells that the day comes first. So days of the month above 12 stay among
+        # themselves, in every layout alike.
+        late = day.day > 12
+        same = _LATE if late else _EARLY
+        new = _EPOCH + dt.timedelta(days=same[self.permute(f"date:{late}", bisect.bisect_left(same, x), len(same))])
         values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         marks = re.findall(r"\D", text)
         return values[order[0]] + marks[0] + values[order[1]] + marks[1] + values[order[2]]
