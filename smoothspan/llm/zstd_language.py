@@ -1,13 +1,13 @@
 """Language identification by compression against per-language raw-content dictionaries.
 
-Each language gets a zstandard dictionary made of raw text from a bounded sample. A text is cut into blocks (all of it is
+Each language gets a zstandard dictionary made of the whole raw texts of a bounded sample of rows. A text is cut into blocks (all of it is
 read), every block is compressed against every dictionary, and the language with the smallest sum wins. A small block keeps
 the dictionary in the reach of the coder, so late parts of a long text count as much as its start. Narrow margins are marked
 in ``rejected``.
 
 Defined results: ``und`` with score 0 for a null text, an empty text or one without a letter; equal sizes fall to the first
 language in alphabetical order (score at most 1/2, rejected); repeated rows get repeated results; with nothing to learn from,
-every text is ``und``. Extra columns are ignored.
+every text is ``und``; an empty table gives no rows; very long texts are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class ZstdSettings:
-    """``sample_rows`` labelled rows of each language, ``sample_chars`` of each (the bound of the fit), at most
-    ``dictionary_bytes`` each; ``block_bytes`` is compressed at once; below ``min_margin`` a decision is marked rejected."""
+    """``sample_rows`` labelled rows of each language, with their whole texts (the bound of the fit); ``block_bytes`` is
+    compressed at once; below ``min_margin`` a decision is marked rejected."""
 
-    sample_rows: int = 240
-    sample_chars: int = 600
-    dictionary_bytes: int = 112 << 10
+    sample_rows: int = 60
     block_bytes: int = 4 << 10
     level: int = 5
     min_match: int = 4
@@ -50,11 +48,11 @@ def fit_dictionaries(
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.sample_rows).select("id").distinct()
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, settings.sample_chars).alias("text"))
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = texts.join(F.broadcast(picked), "id").where("lang is not null and text is not null").toPandas()  # bound: sample_rows per language
     out = {}
     for lang, part in found.sort_values(["lang", "id", "text"]).groupby("lang"):
-        out[str(lang)] = b" ".join(part["text"].map(letters_only))[-settings.dictionary_bytes :]
+        out[str(lang)] = b" ".join(part["text"].map(letters_only))
     return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 
@@ -73,11 +71,12 @@ class ZstdClassifier:
         self.settings = settings
         self.langs = list(dictionaries)
         self.coders = []
+        reach = max(map(len, dictionaries.values()), default=0) + settings.block_bytes  # the coder sees whole dictionaries
         parameters = zstd.ZstdCompressionParameters.from_level(
             settings.level,
             min_match=settings.min_match,
             strategy=zstd.STRATEGY_GREEDY,
-            window_log=17,
+            window_log=min(27, max(17, reach.bit_length())),
             hash_log=17,
             chain_log=16,
             search_log=4,
