@@ -6,13 +6,15 @@ shingle). An item is found in a document if at least ``percent`` per cent of the
 The search keeps, for an item of q shingles, the MinHash sketch of its q - ceil(t * q) + 1 smallest hash values. A document
 that holds the share t of the item's shingles holds at least one of the sketch, whatever its own length, so long documents
 need no longer signatures and no item is missed. Items are partitioned by size (powers of two); the largest value of a
-partition's sketches is its threshold, and of a document only hash values under the threshold of some partition take part in
-the join. Found pairs are verified by the exact intersection of the full shingle sets.
+partition's sketches is its threshold, and a partition is searched only with the hash values of a document up to its own
+threshold. The larger the items of a partition, the smaller the part of their hashes that the sketches hold, and so the
+threshold; partitions of many short items have thresholds near the maximum. Found pairs are verified by the exact intersection of the full shingle sets.
 
 All steps are DataFrame expressions. Defined results: null texts and texts without words hold nothing, and items without
 words are never found; rows that share a document id are looked at one by one, and the best containment counts; null ids are
-ids of their own; items given twice are reported once for an id (the best); empty tables give an empty result. Extra columns
-are ignored.
+ids of their own; items given twice are reported once for an id (the best); very long texts are searched whole; an item of fewer
+words than a shingle is found only in a document that is equal to it word by word; empty tables give an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,13 +87,20 @@ def contained_items(
     items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     sets, sketches = item_sketches(items, settings)
     sketches = cut(sketches, "items-sketches")
-    thresholds = sketches.groupBy("part").agg(F.max("value").alias("most"))
-    highest = thresholds.agg(F.max("most")).first()[0]
-    if highest is None:
-        highest = -(1 << 63)
-    values = _limited(sketches.select("item", "value").distinct(), settings.broadcast_rows)
-    held = shingle_hashes(docs, "text", "all", settings.shingle).select("doc", F.explode_outer("all").alias("value")).where(F.col("value") <= highest)
-    pairs = cut(held.join(values, "value").select("doc", "item").distinct(), "items-pairs")
+    # One threshold for each size partition: there are as many as powers of two among the sizes of items.
+    thresholds = {r["part"]: r["most"] for r in sketches.groupBy("part").agg(F.max("value").alias("most")).collect()}
+    values = _limited(sketches.select("part", "value", "item").distinct(), settings.broadcast_rows)
+
+    def of_part(hashes: Column, part: int, most: int) -> Column:
+        return F.transform(F.filter(hashes, lambda v: v <= most), lambda v: F.struct(F.lit(part).alias("part"), v.alias("value")))
+
+    def under(hashes: Column) -> Column:
+        """(part, value) of the hash values that each partition looks at."""
+        found = [of_part(hashes, part, most) for part, most in sorted(thresholds.items())]
+        return F.concat(*found) if found else F.array().cast("array<struct<part:int,value:bigint>>")
+
+    held = shingle_hashes(docs, "text", "all", settings.shingle).select("doc", F.explode(bound(F.col("all"), under)).alias("asked"))
+    pairs = cut(held.select("doc", "asked.*").join(values, ["part", "value"]).select("doc", "item").distinct(), "items-pairs")
 
     ids = pairs.select("doc").distinct()
     few = _limited(ids, settings.broadcast_rows).withColumnRenamed("doc", "doc_")
