@@ -1,20 +1,27 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup tables of paragraph digests.
 
 A text is cut into paragraphs at line breaks, a long paragraph into pieces of ``piece_words`` words, and each distinct piece
-gets a 64-bit digest. The digests are dealt to groups by their low bits; every group has a table of cells (count, xor of
-digests, xor of check hashes) in three parts, and a digest is entered once in each part. Subtracting the cells of two versions
-leaves the digests in which they differ; peeling (take a cell with one digest, remove it from its other cells, repeat)
-recovers them with their side. Where peeling gets stuck, the group is built again with twice the cells and other positions,
-up to ``retries`` times; what is left after that is counted from the cells.
-
-The likeness of two texts is the Jaccard similarity of their digest sets, taken from what the peeling recovered.
-
-All of it is column expressions: one row needs no other row but the next document, which is joined by id. Neighbours are
-found on ids alone, in blocks between quantiles of the ids, never in one sorted partition.
-
-Defined results: a null text counts as empty; two empty texts are alike (1), an empty and another text are not (0); rows that
-share an id have the same next document, the next larger id (its smallest text if several rows share it); null ids come
-first; the only document is its own next one; extra columns are ignored.
+gets a 64-bit digest. A fingerprint is a table of cells (count, xor of digests, xor of check hashes) in three parts; a digest is
+entered once in each part. Its size goes with the difference that is expected between versions (``share`` of the digests), so
+it holds fewer cells than would list all digests. Subtracting the cells of two fingerprints leaves the digests in which the
+texts differ; peeling (take a cell with one digest, remove it from its other cells, repeat) recovers them with their side.
+Sizes are powers of two, and the larger of two tables is folded to the size of the smaller one first.
+
+Where peeling gets stuck, because the texts differ in more than expected or by chance, both tables are built again, large
+enough for all digests of both texts and with other positions, twice as large at each of ``retries`` times. If that fails too,
+the two lists of digests are compared; the number of retries is returned, so no estimate is ever passed off as a result.
+
+The likeness of two texts is the Jaccard similarity of their digest sets, taken from the number of digests of one fingerprint
+and the digests that the peeling recovered.
+
+All of it is column expressions, linear in the length of a text but for sorting: one row needs no other row but the next
+document, which is joined by id. Neighbours are found on ids alone, in blocks between quantiles of the ids, never in one
+sorted partition.
+
+Defined results: a null text counts as empty; two empty texts are alike (1), an empty and another text are not (0); very long
+texts are fingerprinted whole; rows that share an id have the same next document, the next larger id (its smallest text if
+several rows share it); null ids come first; the only document is its own next one; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +36,14 @@ from smoothspan.llm.scratch import cut
 
 @dataclass(frozen=True)
 class IbltSettings:
-    """``cells`` in each of three parts of a group's table, about ``load`` digests of a text in a group, ``rounds`` of peeling.
-    ``block_rows``: ids in a block when neighbours are looked for (more only beyond ``blocks`` blocks)."""
+    """``share``: the difference that a fingerprint is made for, in digests for each digest of the text. ``retries``: larger
+    tables that are tried, with at most ``rounds`` of peeling each. ``block_rows``: ids in a block when neighbours are looked for
+    (more only beyond ``blocks`` blocks)."""
 
     piece_words: int = 16
-    load: int = 6
-    cells: int = 8
-    retries: int = 2
-    rounds: int = 12
+    share: float = 0.5
+    retries: int = 4
+    rounds: int = 40
     block_rows: int = 2000
     blocks: int = 4096
     broadcast_rows: int = 500_000
@@ -64,94 +71,89 @@ def digests(text: Column, piece_words: int) -> Column:
     return F.coalesce(F.array_distinct(F.flatten(F.transform(lines, pieces))), F.array().cast("array<bigint>"))
 
 
-def group_bits(n: str, load: int) -> str:
-    """Bits of the number of groups for n digests: a power of two with about ``load`` digests each."""
-    return f"cast(ceil(log2(greatest(1e0, {n} / {load}e0))) AS int)"
+CELL = "struct<i:int,c:int,k:bigint,h:bigint>"
 
 
-def groups_sql(keys: str, bits: str) -> str:
-    """The keys as an array of groups by their low bits, in two steps so that no step looks at all pairs of key and group."""
-    half = f"({bits} div 2)"
-    inner = f"transform(sequence(0, shiftleft(1, {bits} - {half}) - 1), b -> filter(s, x -> (shiftright(x, {half}) & (shiftleft(1, {bits} - {half}) - 1)) = b))"
-    return f"flatten(transform(sequence(0, shiftleft(1, {half}) - 1), a -> {bound(f'filter({keys}, x -> (x & (shiftleft(1, {half}) - 1)) = a)', 's', inner)}))"
+def width_sql(digests: str) -> str:
+    """Cells in each part, a power of two, so that all parts have about twice as many cells as there are digests."""
+    return f"shiftleft(1, cast(ceil(log2(greatest(4e0, {digests} / 1.5e0))) AS int))"
 
 
-def entry_sql(key: str, salt: int, cells: int) -> str:
-    """(k, h, p0, p1, p2): a digest with its check hash and its cell in each part."""
-    made = (
-        f"named_struct('k', {key}, 'h', h, 'p0', cast(pmod(h, {cells}) AS int), 'p1', cast({cells} + pmod(shiftright(h, 20), {cells}) AS int), "
-        f"'p2', cast({2 * cells} + pmod(shiftright(h, 40), {cells}) AS int))"
-    )
-    return bound(f"xxhash64({key}, {salt})", "h", made)
+def entries_sql(keys: str, sign: str, width: str, salt: str) -> str:
+    """The entries of digests: each with its check hash, once in each part (the cell's place is 3 * position + part)."""
 
+    def entry(part: int) -> str:
+        return f"named_struct('i', cast((shiftrightunsigned(h, {20 * part}) & ({width} - 1)) * 3 + {part} AS int), 'c', {sign}, 'k', y, 'h', h)"
 
-def table_sql(keys: str, salt: int, cells: int) -> str:
-    """The cells (c, k, h) of one group's keys."""
+    return f"flatten(transform({keys}, y -> {bound(f'xxhash64(y, {salt})', 'h', f'array({entry(0)}, {entry(1)}, {entry(2)})')}))"
+
+
+def summed_sql(entries: str) -> str:
+    """The cells of entries: those of one place added up, in the order of places, without empty cells."""
     cell = (
-        "aggregate(filter(e, x -> x.p0 = i OR x.p1 = i OR x.p2 = i), named_struct('c', 0, 'k', 0L, 'h', 0L), "
-        "(acc, x) -> named_struct('c', acc.c + 1, 'k', acc.k ^ x.k, 'h', acc.h ^ x.h))"
+        "aggregate(slice(e, p + 2, coalesce(get(b, q + 1), size(e)) - p - 1), named_struct('i', get(e, p).i, 'c', get(e, p).c, 'k', get(e, p).k, 'h', get(e, p).h), "
+        "(x, y) -> named_struct('i', x.i, 'c', x.c + y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
     )
-    return bound(f"transform({keys}, y -> {entry_sql('y', salt, cells)})", "e", f"transform(sequence(0, {3 * cells - 1}), i -> {cell})")
+    firsts = "filter(sequence(0, size(e) - 1), p -> p = 0 OR get(e, p).i <> get(e, p - 1).i)"
+    cells = bound(firsts, "b", f"filter(transform(b, (p, q) -> {cell}), x -> x.c <> 0 OR x.k <> 0 OR x.h <> 0)")
+    return bound(f"sort_array({entries})", "e", f"if(size(e) = 0, cast(array() AS array<{CELL}>), {cells})")
 
 
-def minus_sql(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (u, v) -> named_struct('c', u.c - v.c, 'k', u.k ^ v.k, 'h', u.h ^ v.h))"
+def table_sql(keys: str, s: IbltSettings) -> str:
+    """The fingerprint's table: number of digests n, cells in a part w, and the cells."""
+    made = f"named_struct('n', size(ks), 'w', w, 'cells', {summed_sql(entries_sql('ks', '1', 'w', '0'))})"
+    return bound(keys, "ks", bound(width_sql(f"size(ks) * {s.share}"), "w", made))
 
 
-def peel_sql(cells: str, salt: int, width: int, rounds: int) -> str:
-    """(cells, found): what is left of subtracted cells, and the digests (k, s) with their side."""
-    pure = (
-        f"transform(array_distinct(transform(filter(st.cells, x -> abs(x.c) = 1 AND xxhash64(x.k, {salt}) = x.h), x -> named_struct('k', x.k, 's', x.c))), "
-        f"y -> named_struct('s', y.s, 'e', {entry_sql('y.k', salt, width)}))"
-    )
-    cell = (
-        "aggregate(filter(p, y -> y.e.p0 = i OR y.e.p1 = i OR y.e.p2 = i), x, "
-        "(acc, y) -> named_struct('c', acc.c - y.s, 'k', acc.k ^ y.e.k, 'h', acc.h ^ y.e.h))"
-    )
-    step = bound(
-        pure,
-        "p",
-        f"if(size(p) = 0, st, named_struct('cells', transform(st.cells, (x, i) -> {cell}), 'found', concat(st.found, transform(p, y -> named_struct('k', y.e.k, 's', y.s)))))",
-    )
-    empty = "cast(array() AS array<struct<k: bigint, s: int>>)"
-    return f"aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'found', {empty}), (st, r) -> {step})"
+def fingerprint_sql(table: str) -> str:
+    """A table as text: digests, width, and for each cell its place, count, digest and check in hexadecimal."""
+    cell = "concat(x.i, ':', x.c, ':', hex(x.k), ':', hex(x.h))"
+    return f"concat({table}.n, ';', {table}.w, ';', array_join(transform({table}.cells, x -> {cell}), ','))"
+
+
+def minus_sql(a: str, b: str, width: str) -> str:
+    """The cells of table a less those of table b, both folded to ``width``."""
 
+    def folded(table: str, sign: str) -> str:
+        place = f"cast(((x.i div 3) & ({width} - 1)) * 3 + x.i % 3 AS int)"
+        return f"transform({table}.cells, x -> named_struct('i', {place}, 'c', {sign} * x.c, 'k', x.k, 'h', x.h))"
 
-def _left_sql(state: str) -> str:
-    return f"exists({state}.cells, x -> x.c <> 0 OR x.k <> 0)"
+    return summed_sql(f"concat({folded(a, '1')}, {folded(b, '-1')})")
 
 
-def group_difference_sql(a: str, b: str, s: IbltSettings, attempt: int = 0) -> str:
-    """(a, b, failed) of one group: digests that only a has, that only b has, and whether some stayed in the cells."""
-    cells = s.cells << attempt
-    peeled = peel_sql(minus_sql(table_sql(a, attempt, cells), table_sql(b, attempt, cells)), attempt, cells, s.rounds)
+def peel_sql(cells: str, width: str, salt: str, s: IbltSettings) -> str:
+    """(cells, a, b, open): what is left of subtracted cells, and the digests found on each side."""
 
-    def sums(side: int) -> str:
-        rest = f"aggregate(st.cells, 0, (n, x) -> n + greatest(0, {side} * x.c)) div 3"
-        return f"size(filter(st.found, y -> y.s = {side})) + {rest}"
+    def pure(side: int) -> str:
+        return f"array_distinct(transform(filter(st.cells, x -> x.c = {side} AND xxhash64(x.k, {salt}) = x.h), x -> x.k))"
 
-    done = f"named_struct('a', cast({sums(1)} AS int), 'b', cast({sums(-1)} AS int), 'failed', {_left_sql('st')})"
-    if attempt < s.retries:
-        done = f"if({_left_sql('st')}, {group_difference_sql(a, b, s, attempt + 1)}, {done})"
-    return bound(peeled, "st", done)
+    removed = f"concat(st.cells, {entries_sql('pa', '-1', width, salt)}, {entries_sql('pb', '1', width, salt)})"
+    done = "named_struct('cells', st.cells, 'a', st.a, 'b', st.b, 'open', false)"
+    more = f"named_struct('cells', {summed_sql(removed)}, 'a', concat(st.a, pa), 'b', concat(st.b, pb), 'open', true)"
+    step = bound(pure(1), "pa", bound(pure(-1), "pb", f"if(size(pa) + size(pb) = 0, {done}, {more})"))
+    none = "cast(array() AS array<bigint>)"
+    start = f"named_struct('cells', {cells}, 'a', {none}, 'b', {none}, 'open', true)"
+    return f"aggregate(sequence(1, {s.rounds}), {start}, (st, r) -> if(st.open AND size(st.cells) > 0, {step}, st))"
 
 
-def likeness_sql(a: str, b: str, s: IbltSettings) -> str:
-    """The Jaccard similarity of two digest arrays from the peeled difference of their tables."""
-    bits = group_bits(f"greatest(size({a}), size({b}))", s.load)
-    # Equal groups need no table: their difference is empty whatever the cells.
-    per_group = f"zip_with({groups_sql(a, 'bits')}, {groups_sql(b, 'bits')}, (u, v) -> {group_difference_sql('u', 'v', s)})"
-    total = f"aggregate({per_group}, named_struct('a', 0, 'b', 0), (acc, d) -> named_struct('a', acc.a + d.a, 'b', acc.b + d.b))"
-    value = bound(total, "d", f"if(size({a}) + d.b = 0, 1e0, greatest(0e0, least(1e0, (size({a}) - d.a) / cast(size({a}) + d.b AS double))))")
-    return bound(bits, "bits", value)
+def difference_sql(a: str, b: str, ta: str, tb: str, s: IbltSettings) -> str:
+    """(a, b, tries, done): digests that only the first text has, that only the second has, and how many larger tables were
+    built; ``retries`` + 1 tries stand for the comparison of the lists. a, b: digests; ta, tb: their tables."""
 
+    def result(peeled: str, tries: str) -> str:
+        return bound(peeled, "z", f"named_struct('a', z.a, 'b', z.b, 'tries', {tries}, 'done', size(z.cells) = 0)")
 
-def fingerprint_sql(keys: str, s: IbltSettings) -> str:
-    """The text's own table: for each group its cells as count, digest and check in hexadecimal."""
-    cell = "if(x.c = 0, '', concat(hex(x.c), ':', hex(x.k), ':', hex(x.h)))"
-    group = f"array_join(transform({table_sql('g', 0, s.cells)}, x -> {cell}), ',')"
-    bits = group_bits(f"size({keys})", s.load)
-    return bound(bits, "bits", f"concat(size({keys}), ';', array_join(transform({groups_sql(keys, 'bits')}, g -> {group}), ';'))")
+    first = bound(f"least({ta}.w, {tb}.w)", "w", result(peel_sql(minus_sql(ta, tb, "w"), "w", "0", s), "0"))
+    joint = f"concat({entries_sql(a, '1', 'w', 't')}, {entries_sql(b, '-1', 'w', 't')})"
+    again = bound(width_sql(f"(size({a}) + size({b})) * shiftleft(1, t - 1)"), "w", result(peel_sql(summed_sql(joint), "w", "t", s), "t"))
+    tried = f"aggregate(sequence(1, {s.retries}), {first}, (v, t) -> if(v.done, v, {again}))" if s.retries else first
+    lists = f"named_struct('a', array_except({a}, {b}), 'b', array_except({b}, {a}), 'tries', {s.retries + 1}, 'done', true)"
+    return bound(tried, "v", f"if(v.done, v, {lists})")
+
+
+def likeness_sql(difference: str, n: str) -> str:
+    """The Jaccard similarity of a text of n digests and another one, from their difference."""
+    return f"if({n} + size({difference}.b) = 0, 1e0, ({n} - size({difference}.a)) / cast({n} + size({difference}.b) AS double))"
 
 
 def next_ids(ids: DataFrame, settings: IbltSettings) -> DataFrame:
@@ -194,29 +196,28 @@ def version_fingerprints(docs: DataFrame, settings: IbltSettings = IbltSettings(
     edited = F.concat(F.col("text").substr(F.lit(1), n - edit), F.col("head").substr(F.lit(1), edit))
     keyed = both.select("doc", n.cast("long").alias("n_chars"), digests(F.col("text"), s.piece_words).alias("keys"), edited.alias("edited"), "next_keys")
     keyed = keyed.select("doc", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited"), s.piece_words).alias("edited_keys"))
+    for name in ("keys", "edited_keys", "next_keys"):
+        keyed = keyed.withColumn(f"of_{name}", F.expr(table_sql(name, s)))
+    for name in ("edited", "next"):
+        keyed = keyed.withColumn(name, F.expr(difference_sql("keys", f"{name}_keys", "of_keys", f"of_{name}_keys", s)))
     return keyed.select(
         F.col("doc").alias(id_col),
         "n_chars",
         "edited_sha256",
-        F.expr(fingerprint_sql("keys", s)).alias("fingerprint"),
-        F.expr(fingerprint_sql("edited_keys", s)).alias("edited_fingerprint"),
-        F.expr(likeness_sql("keys", "edited_keys", s)).alias("near_edited"),
-        F.expr(likeness_sql("keys", "next_keys", s)).alias("near_next"),
+        F.expr(fingerprint_sql("of_keys")).alias("fingerprint"),
+        F.expr(fingerprint_sql("of_edited_keys")).alias("edited_fingerprint"),
+        F.expr(likeness_sql("edited", "of_keys.n")).alias("near_edited"),
+        F.expr(likeness_sql("next", "of_keys.n")).alias("near_next"),
+        F.col("edited.tries").alias("retries_edited"),
+        F.col("next.tries").alias("retries_next"),
     )
 
 
 def recovered_differences(pairs: DataFrame, old_col: str, new_col: str, settings: IbltSettings = IbltSettings()) -> DataFrame:
-    """``pairs`` with the arrays ``only_old`` and ``only_new`` of digests recovered by peeling one table of the whole texts."""
+    """``pairs`` with the arrays ``only_old`` and ``only_new`` of digests recovered from the tables of the whole texts, and
+    ``retries`` as in :func:`difference_sql`."""
     s = settings
     keyed = pairs.withColumn("a_", digests(F.col(old_col), s.piece_words)).withColumn("b_", digests(F.col(new_col), s.piece_words))
-    bits = group_bits("greatest(size(a_), size(b_))", s.load)
-
-    def found(attempt: int) -> str:
-        cells = s.cells << attempt
-        peeled = peel_sql(minus_sql(table_sql("u", attempt, cells), table_sql("v", attempt, cells)), attempt, cells, s.rounds)
-        return bound(peeled, "st", f"if({_left_sql('st')}, {found(attempt + 1)}, st.found)" if attempt < s.retries else "st.found")
-
-    whole = f"flatten(zip_with({groups_sql('a_', 'bits')}, {groups_sql('b_', 'bits')}, (u, v) -> {found(0)}))"
-    keyed = keyed.withColumn("d_", F.expr(bound(bits, "bits", whole)))
-    side = "transform(filter(d_, y -> y.s = {}), y -> y.k)"
-    return keyed.select(*pairs.columns, F.expr(side.format(1)).alias("only_old"), F.expr(side.format(-1)).alias("only_new"))
+    keyed = keyed.withColumn("ta_", F.expr(table_sql("a_", s))).withColumn("tb_", F.expr(table_sql("b_", s)))
+    keyed = keyed.withColumn("d_", F.expr(difference_sql("a_", "b_", "ta_", "tb_", s)))
+    return keyed.select(*pairs.columns, F.col("d_.a").alias("only_old"), F.col("d_.b").alias("only_new"), F.col("d_.tries").alias("retries"))
