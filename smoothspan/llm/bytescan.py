@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; bounds the memory of the 64-bit work arrays. A longer text is handled alone.
-BLOCK_BYTES = 1 << 20
+#: Bytes handled at once; bounds the memory of the 64-bit work arrays. A longer text is handled alone, in pieces of this size.
+BLOCK_BYTES = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -37,16 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix(_LOWER.astype(np.uint64) + np.uint64(1))
 
 
-def _power_table(base: int, size: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < size:
+def _power_table(base: int) -> np.ndarray:
+    """The powers of ``base`` for the places of a piece."""
+    if base not in _powers:
         with np.errstate(over="ignore"):
-            steps = np.full(max(size, BLOCK_BYTES) + 1, base, dtype=np.uint64)
+            steps = np.full(BLOCK_BYTES + 1, base, dtype=np.uint64)
             steps[0] = 1
-            have = np.multiply.accumulate(steps)
-        if size <= 4 * BLOCK_BYTES:
-            _powers[base] = have
-    return have
+            _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,28 +73,48 @@ def blocks(raw: np.ndarray, offsets: np.ndarray, most_rows: int = 16384) -> Iter
         start = end
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, newline_splits: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, row) of every word of a block. A word never crosses rows."""
-    if not len(raw):
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+def _piece(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(polynomial hash, start, length) of the words of a piece; ``cuts`` are places inside it where rows start."""
     space = _SPACE[raw]
     inside = ~space
     starts = inside.copy()
     starts[1:] &= space[:-1]
     ends = inside
     ends[:-1] &= space[1:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
     starts[cuts] |= ~space[cuts]
     ends[cuts - 1] |= ~space[cuts - 1]
     first = np.flatnonzero(starts)
-    last = np.flatnonzero(ends)
+    length = np.flatnonzero(ends) + 1 - first
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUES[raw] * _power_table(_MULTIPLIER)[: len(raw)], out=sums[1:])
+        return (sums[first + length] - sums[first]) * _power_table(_INVERSE)[first], first, length
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, row) of every word of a block. A word never crosses rows.
+
+    A long text is scanned piece by piece, and the hash of a word that pieces cut is put together from its parts, so that
+    beyond the results (24 bytes for a word) memory doesn't grow with the text or the word."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for low in range(0, len(raw), BLOCK_BYTES):
+        cuts = offsets[np.searchsorted(offsets, low, "right") : np.searchsorted(offsets, min(low + BLOCK_BYTES, len(raw)))] - low
+        value, first, length = _piece(raw[low : low + BLOCK_BYTES], cuts)
+        first = first + low
+        if found and len(first) and first[0] == low and low not in offsets[np.searchsorted(offsets, low) :][:1]:
+            last_value, last_first, last_length = found[-1]
+            if last_first[-1] + last_length[-1] == low:  # the word goes on
+                factor = np.uint64(pow(_MULTIPLIER, int(last_length[-1]), 1 << 64))
+                with np.errstate(over="ignore"):
+                    last_value[-1:] += value[:1] * factor
+                last_length[-1] += length[0]
+                value, first, length = value[1:], first[1:], length[1:]
+        if len(first):
+            found.append((value, first, length))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
+    value, first, length = (np.concatenate(x) if len(found) > 1 else x[0] for x in zip(*found, strict=True))
     with np.errstate(over="ignore"):
-        sums = np.empty(len(raw) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_VALUES[raw] * _power_table(_MULTIPLIER, len(raw))[: len(raw)], out=sums[1:])
-        value = (sums[last + 1] - sums[first]) * _power_table(_INVERSE, len(raw))[first]
-        value = mix(value + (last - first + 1).astype(np.uint64))
-    row = np.searchsorted(offsets, first, side="right") - 1
-    return value, first, row
+        value = mix(value + length.astype(np.uint64))
+    return value, first, np.searchsorted(offsets, first, side="right") - 1

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from smoothspan.llm import workers
 from smoothspan.llm.bytescan import blocks, text_buffers
 from smoothspan.llm.workers import returning_memory
 
@@ -48,7 +49,7 @@ class ChunkSettings:
 
     window: int = 4
     mask_bits: int = 4
-    cache_bytes: int = 6 << 20
+    cache_bytes: int = 2 << 20
 
 
 def cut_places(raw: np.ndarray, offsets: np.ndarray, settings: ChunkSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,16 +243,13 @@ def decode_bytes(data: bytes) -> str:
     return data.decode("utf-8", errors="replace")
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 def worker_encoder(path: str, settings: ChunkSettings) -> ChunkEncoder:
-    """One encoder for each Python worker; its chunks are given up at the end of a task."""
+    """One encoder for each Python worker; its chunks are given up at the end of a task, and it itself when the worker gets a
+    task of another operator."""
     key = (path, settings)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = ChunkEncoder(path, settings)
-    return _encoders[key]
+    if workers.held.get(__name__, (None,))[0] != key:
+        workers.held[__name__] = (key, ChunkEncoder(path, settings))
+    return workers.held[__name__][1]
 
 
 def encode_documents(

@@ -2,11 +2,13 @@
 
 The lexicon (words and word stems whose presence goes with label 1) is learned from a bounded sample of labelled documents.
 One automaton recognises all words within the edit bound of any term: its states are sets of (trie node, edits), built when
-first met and kept. Every distinct word of a block walks it once. A hit counts as abuse unless the window around it shows a
+first met and kept. Every distinct word of a block walks it once, whatever its length, and so does each piece between punctuation
+inside a word. A hit counts as abuse unless the window around it shows a
 quotation (open quotation marks, or a line that starts with ``>``); abuse, misspelled abuse and quotation are separate
 features of a logistic model fitted on the same sample.
 
-Defined results: null and empty texts have no hits and get the model's base score; repeated rows get repeated scores; labels
+Defined results: null and empty texts have no hits and get the model's base score; very long texts and words are read whole;
+of the terms that a word may be a misspelling of the one with the fewest edits counts; an empty table gives no rows; repeated rows get repeated scores; labels
 given twice for an id count as toxic if one of them is; null ids and null labels are not learned from; without both labels in
 the sample, the score is the share of label 1 (0 without labels). Extra columns are ignored.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,7 +44,7 @@ class ToxicSettings:
     purity: float = 0.8
     max_terms: int = 3000
     window: int = 160
-    known_words: int = 200_000
+    known_words: int = 50_000
 
 
 @dataclass(frozen=True)
@@ -57,9 +60,11 @@ def edits_allowed(term: str) -> int:
 
 
 class LexiconAutomaton:
-    """Deterministic states are met lazily. ``match`` gives the fewest edits to a term, or None."""
+    """Deterministic states are met lazily, and dropped between words beyond ``most_states``. ``match`` gives the fewest edits to
+    a term, or None."""
 
-    def __init__(self, terms: tuple[str, ...], stems: tuple[str, ...] = ()):
+    def __init__(self, terms: tuple[str, ...], stems: tuple[str, ...] = (), most_states: int = 40_000):
+        self.most_states = most_states
         self.child: list[dict[str, int]] = [{}]
         self.allowed = [0]
         self.ends: list[int | None] = [None]
@@ -78,8 +83,12 @@ class LexiconAutomaton:
                     node = self.child[node][c]
                 self.allowed[node] = max(self.allowed[node], most)
                 (self.stem_ends if stem else self.ends)[node] = most
-        self.states: list[dict[int, int]] = []
-        self.number: dict[frozenset, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop the states met so far; they are met again when needed."""
+        self.states: list[bytes] = []  # 4 * node + edits of each node, as 32-bit numbers
+        self.number: dict[tuple[bytes, int | None], int] = {}
         self.accept: list[int | None] = []
         self.absorbed: list[bool] = []
         self.moves: list[dict[str, int]] = []
@@ -97,10 +106,11 @@ class LexiconAutomaton:
         for node, e in nodes.items():
             if self.stem_ends[node] is not None and e <= self.stem_ends[node]:
                 held = e if held is None else min(held, e)
-        key = frozenset([*nodes.items(), (-1, held)])
+        packed = array("i", sorted(4 * node + e for node, e in nodes.items())).tobytes()
+        key = (packed, held)
         if key not in self.number:
             self.number[key] = len(self.states)
-            self.states.append(nodes)
+            self.states.append(packed)
             best = [e for node, e in nodes.items() if self.ends[node] is not None and e <= self.ends[node]]
             self.accept.append(min([*best, *([held] if held is not None else [])], default=None))
             self.absorbed.append(held == 0)
@@ -109,7 +119,8 @@ class LexiconAutomaton:
 
     def _step(self, state: int, c: str) -> int:
         nodes: dict[int, int] = {}
-        for node, e in self.states[state].items():
+        for x in array("i", self.states[state]):
+            node, e = divmod(x, 4)
             if e + 1 <= self.allowed[node]:  # a letter too many
                 nodes[node] = min(nodes.get(node, 99), e + 1)
             for letter, to in self.child[node].items():
@@ -122,6 +133,8 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> int | None:
+        if len(self.states) > self.most_states:
+            self._forget()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -142,6 +155,15 @@ def bare(word: str) -> str:
     return _EDGE.sub("", word.lower())
 
 
+_BETWEEN = re.compile(r"[\W_]+")
+
+
+def readings(word: str) -> set[str]:
+    """What a run without white space may stand for: the run itself and the pieces between its punctuation."""
+    whole = bare(word)
+    return ({whole, *_BETWEEN.split(whole)} if _BETWEEN.search(whole) else {whole}) - {""}
+
+
 _OPEN, _CLOSE = "«“„", "»”"
 
 
@@ -168,8 +190,8 @@ class ToxicScorer:
         self.known: dict[int, int] = {}
 
     def _edits(self, word: str) -> int:
-        e = self.automaton.match(bare(word)) if len(word) < 64 else None
-        return -1 if e is None else e
+        found = [e for e in map(self.automaton.match, readings(word)) if e is not None]
+        return min(found, default=-1)
 
     def features(self, column: pa.Array) -> np.ndarray:
         raw, offsets = text_buffers(column)
@@ -189,7 +211,7 @@ class ToxicScorer:
                 e = known.get(h)
                 if e is None:
                     s = int(start[w])
-                    stop = min(int(ends[w]), int(at[row[w] + 1]), s + 256)
+                    stop = min(int(ends[w]), int(at[row[w] + 1]))
                     e = known[h] = self._edits(data[s:stop].split(None, 1)[0].decode("utf-8", "replace"))
                 edits[k] = e
             per_word = edits[back]
@@ -248,7 +270,7 @@ def fit_toxicity(
         n = [0, 0]
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {bare(w) for w in (text or "").split()} - {""}
+                found = {x for w in set((text or "").split()) for x in readings(w)}
                 found |= {f"{w[:k]}*" for w in found for k in settings.stem_lengths if len(w) > k}
                 seen.update(found)
                 n[y > 0] += 1

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smoothspan.llm.blockwise import overlaps
+from smoothspan.llm.blockwise import block_count, overlaps
 from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
 from smoothspan.llm.components import connected_components
-from smoothspan.llm.scratch import cut
+from smoothspan.llm.scratch import consumed, cut
 from smoothspan.llm.workers import returning_memory
 
 HASH_BITS = 50
@@ -52,6 +52,7 @@ class MinHashSettings:
     rows: int = 4
     broadcast_rows: int = 500_000
     block_items: int = 65_536
+    block_rows: int = 2048
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +79,18 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)
 
 
-def super_minhash(owner: np.ndarray, item: np.ndarray, rows: int, slots: int) -> np.ndarray:
-    """Signatures (rows x slots) of the sets given as (owner, item); a value is rank * 2**32 + a 32-bit fraction."""
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(rows * slots, none, dtype=np.uint64)
+def super_minhash(owner: np.ndarray, item: np.ndarray, rows: int, slots: int, most_items: int = 1 << 17) -> np.ndarray:
+    """Signatures (rows x slots) of the sets given as (owner, item); a value is rank * 2**32 + a 32-bit fraction.
+
+    The signature of a set is the minimum over its parts, so at most ``most_items`` items are worked on at once."""
+    out = np.full(rows * slots, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for start in range(0, len(item), most_items):
+        _lower(out, owner[start : start + most_items], item[start : start + most_items], rows, slots)
+    return out.reshape(rows, slots)
+
+
+def _lower(out: np.ndarray, owner: np.ndarray, item: np.ndarray, rows: int, slots: int) -> None:
+    """Lower the values in ``out`` by the ranks of some items."""
     drawn: list[np.ndarray] = []  # positions drawn so far, and what stood at the front before each draw
     front: list[np.ndarray] = []
     for j in range(slots):
@@ -105,7 +114,6 @@ def super_minhash(owner: np.ndarray, item: np.ndarray, rows: int, slots: int) ->
         if not keep.all():
             owner, item = owner[keep], item[keep]
             drawn, front = [x[keep] for x in drawn], [x[keep] for x in front]
-    return out.reshape(rows, slots)
 
 
 def sign_column(column: pa.Array, settings: MinHashSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +211,7 @@ def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings)
     nodes = cut(nodes, "minhash-nodes")
     sets = cut(shingles_of(docs.join(small_side(nodes.select("node"), settings.broadcast_rows), "node", "left_semi"), settings), "minhash-sets")
     held = nodes.join(sets, "node")
-    size = held.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / settings.block_items).cast("int").alias("blocks"))
+    size = held.groupBy("cluster").agg(block_count("items", settings.block_items, settings.block_rows).alias("blocks"))
     dealt = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "items")
@@ -215,8 +223,6 @@ def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings)
         node, component = table["node"].to_numpy(), table["component"].to_numpy()
         # Rows of the first block against all rows; both blocks are one if i = j.
         first = np.flatnonzero(table["block"].to_numpy() == table["i"].to_numpy())
-        both, union = overlaps(table["items"].combine_chunks(), first)
-        linked = (both * 100 >= settings.percent * union) & (component[first][:, None] != component[None, :])
         parent: dict[int, int] = {}
         edges = []
 
@@ -225,11 +231,16 @@ def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings)
                 x = parent[x]
             return x
 
-        for k, m in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-            ra, rb = find(int(component[first[k]])), find(int(component[m]))
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                edges.append((max(int(node[first[k]]), int(node[m])), min(int(node[first[k]]), int(node[m]))))
+        for part, both, union in overlaps(table["items"].combine_chunks(), first):
+            linked = (both * 100 >= settings.percent * union) & (component[part][:, None] != component[None, :])
+            # One link for each pair of components: the others add nothing.
+            k, m = np.nonzero(linked)
+            _, once = np.unique(np.stack([component[part[k]], component[m]]), axis=1, return_index=True)
+            for a, b in zip(part[k[once]].tolist(), m[once].tolist(), strict=True):
+                ra, rb = find(int(component[a])), find(int(component[b]))
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    edges.append((max(int(node[a]), int(node[b])), min(int(node[a]), int(node[b]))))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return cut(each.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "minhash-cluster-links")
@@ -237,6 +248,11 @@ def _link_clusters(mixed: DataFrame, docs: DataFrame, settings: MinHashSettings)
 
 def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, n_shingles, component_id) of every row; component_id is the smallest id reachable over links."""
+    with consumed(docs.sparkSession) as keep:
+        return keep(_grouped(docs, settings, id_col, text_col), "minhash-result")
+
+
+def _grouped(docs: DataFrame, settings: MinHashSettings, id_col: str, text_col: str) -> DataFrame:
     signed = cut(signatures(docs, settings, id_col, text_col), "minhash-signed")
     sets = signed.where("n_shingles > 0 and node is not null").groupBy("low", "high", "n_shingles").agg(F.min("node").alias("first"))
     sets = cut(sets, "minhash-classes")
