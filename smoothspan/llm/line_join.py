@@ -37,21 +37,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smoothspan.llm.blockwise import overlaps
+from smoothspan.llm.blockwise import block_count, overlaps
 from smoothspan.llm.bytescan import blocks, mix, text_buffers, words
 from smoothspan.llm.components import connected_components
-from smoothspan.llm.scratch import cut
+from smoothspan.llm.scratch import consumed, cut
 from smoothspan.llm.workers import returning_memory
 
-#: Bits of the tables of seen tokens; their size does not depend on the data (32 MB each).
-TABLE_BITS = 28
-SLICES = 32
-
-
 @dataclass(frozen=True)
 class LineSettings:
     """``short_lines``: whether lines of fewer than ``shingle`` words take part, by their whole word sequence.
     ``short_list``: lists up to this length are joined with themselves, longer ones in two passes (the result is the same).
+    ``filter_bits``: bits of the filter of shared tokens that every task holds. ``slice_bytes``: bytes of text for each slice of
+    the tokens that one task counts. ``run_tokens``: tokens that a scanning task sorts at once.
     ``broadcast_rows``: most rows that are broadcast; larger tables are joined by a shuffle."""
 
     percent: int = 75
@@ -59,14 +56,13 @@ class LineSettings:
     short_lines: bool = False
     short_list: int = 64
     block_items: int = 16_384
+    block_rows: int = 2048
+    filter_bits: int = 28
+    slice_bytes: int = 32 << 20
+    run_tokens: int = 1 << 20
     broadcast_rows: int = 500_000
 
 
-def _slots(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slot = token >> np.uint64(64 - TABLE_BITS)
-    return (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)
-
-
 def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int, short_lines: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line, token) of the distinct tokens of each line that has some, ordered by line; then row and number of every line."""
     value, start, row = words(raw, offsets)
@@ -89,12 +85,17 @@ def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int, short_lines: boo
             line = np.concatenate([line, at[first]])
             order = np.argsort(line, kind="stable")
             token, line = np.concatenate([token, mix(acc)])[order], line[order]
-    # Repeats within a line are rare: only lines that may have some are sorted.
-    order = np.argsort(token, kind="stable")
-    same = np.flatnonzero((token[order][1:] == token[order][:-1]) & (line[order][1:] == line[order][:-1]))
+    # Repeats within a line are rare: only lines that may have some are looked at closer.
+    key = np.sort((token << np.uint64(_LINE_BITS)) | (line.astype(np.uint64) & np.uint64((1 << _LINE_BITS) - 1)))
+    same = key[1:][key[1:] == key[:-1]]
     if len(same):
+        some = np.zeros(1 << _LINE_BITS, bool)
+        some[(same & np.uint64((1 << _LINE_BITS) - 1)).astype(np.int64)] = True
+        look = np.flatnonzero(some[line & ((1 << _LINE_BITS) - 1)])
+        order = look[np.lexsort((token[look], line[look]))]
+        again = (token[order][1:] == token[order][:-1]) & (line[order][1:] == line[order][:-1])
         keep = np.ones(len(token), bool)
-        keep[order[same + 1]] = False
+        keep[order[1:][again]] = False
         token, line = token[keep], line[keep]
     per_row = np.searchsorted(breaks, offsets[:-1])  # line breaks before each row
     first_line = per_row + np.arange(len(offsets) - 1)
@@ -104,6 +105,9 @@ def _line_sets(raw: np.ndarray, offsets: np.ndarray, size: int, short_lines: boo
     return line, token, owner, number
 
 
+_LINE_BITS = 16
+
+
 def _starts(line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
 
@@ -115,55 +119,126 @@ def _class_hashes(token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return low.view(np.int64), high.view(np.int64)
 
 
-def seen_twice(docs: DataFrame, settings: LineSettings) -> np.ndarray:
-    """The packed bit table of token slots that were hit more than once in all documents."""
-    size = (1 << TABLE_BITS) // 8
+def _pack(slots: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences, one plane for each byte of them."""
+    step = np.diff(slots, prepend=np.uint64(0))
+    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = int(step.max()).bit_length() + 7 >> 3 if len(step) else 0
+    return bytes([used]) + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes[:, :used].T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    used = data[0]
+    if not used:  # no number, or the number 0 alone, which is told apart by the caller
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(used, -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, :used] = planes.T
+    return np.cumsum(step.view("<u8").reshape(-1), dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class SharedTokens:
+    """A filter that holds all tokens that were seen more than once, and few others. Every slice of the tokens (by their first
+    bits) has its own part of the table."""
+
+    table: np.ndarray
+    slot_bits: int
+    slice_bits: int
+
+    def part_bits(self) -> int:
+        return len(self.table).bit_length() + 2 - self.slice_bits
+
+    @staticmethod
+    def places(slot: np.ndarray, part_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        spread, most = mix(slot), np.uint64((1 << part_bits) - 1)
+        return spread & most, (spread >> np.uint64(32)) & most
+
+    def may_hold(self, token: np.ndarray) -> np.ndarray:
+        slot = token >> np.uint64(64 - self.slot_bits)
+        bits = self.part_bits()
+        base = (token >> np.uint64(64 - self.slice_bits)) << np.uint64(bits)
+        found = np.ones(len(token), bool)
+        for place in self.places(slot, bits):
+            place = base | place
+            found &= (self.table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        return found
+
+
+def seen_twice(docs: DataFrame, settings: LineSettings) -> SharedTokens:
+    """The filter of the tokens that occur more than once in all documents.
+
+    A task sends the first bits of its tokens as sorted runs, cut into slices; a slice is counted by one task, which returns its
+    part of the filter. Bits and slices grow with the text, so that tokens rarely meet and a slice stays of one size; the
+    filter itself has a fixed size."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slice_bits = min(settings.filter_bits - 10, max(5, (total // settings.slice_bytes).bit_length()))
+    slot_bits = min(48, max(30, total.bit_length() + 4))
+    part_bits = settings.filter_bits - slice_bits
 
     @returning_memory
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        heads = np.arange(1 << slice_bits, dtype=np.uint64) << np.uint64(slot_bits - slice_bits)
+
+        def run(held: list[np.ndarray]) -> pa.RecordBatch:
+            slots = np.sort(np.concatenate(held))
+            new = np.append(True, slots[1:] != slots[:-1])
+            twice = np.unique(slots[~new])
+            slots = slots[new]
+            cuts, again = (np.append(np.searchsorted(x, heads), len(x)) for x in (slots, twice))
+            rows = [k for k in range(len(heads)) if cuts[k] < cuts[k + 1]]
+            one = np.uint64(1)  # so that no run is the number 0 alone
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows, pa.int32()),
+                    pa.array([_pack(slots[cuts[k] : cuts[k + 1]] - heads[k] + one) for k in rows], pa.binary()),
+                    pa.array([_pack(twice[again[k] : again[k + 1]] - heads[k] + one) for k in rows], pa.binary()),
+                ],
+                names=["slice", "once", "twice"],
+            )
+
+        held: list[np.ndarray] = []
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for _, _, part, at in blocks(raw, offsets):
                 _, token, _, _ = _line_sets(part, at, settings.shingle, settings.short_lines)
-                token = np.sort(token >> np.uint64(64 - TABLE_BITS)) << np.uint64(64 - TABLE_BITS)
-                again = np.append(False, token[1:] == token[:-1])
-                place, bit = _slots(token)
-                hit = again | ((once[place] & bit) != 0)
-                np.bitwise_or.at(twice, place[hit], bit[hit])
-                np.bitwise_or.at(once, place, bit)
-        if once.any():
-            step, pack = size // SLICES, zstandard.ZstdCompressor(1).compress
-            parts = [(k, *(pack(t[k * step : (k + 1) * step].tobytes()) for t in (once, twice))) for k in range(SLICES)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts]), pa.array([p[2] for p in parts])], names=["slice", "once", "twice"]
-            )
+                held.append(token >> np.uint64(64 - slot_bits))
+                if sum(map(len, held)) >= settings.run_tokens:
+                    yield run(held)
+                    held = []
+        if sum(map(len, held)):
+            yield run(held)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size // SLICES, np.uint8), np.zeros(size // SLICES, np.uint8)
+        once, twice = [], []
         for batch in batches:
-            for a, b in zip(batch.column(1), batch.column(2), strict=True):
-                new = np.frombuffer(zstandard.decompress(a.as_py()), np.uint8)
-                twice |= np.frombuffer(zstandard.decompress(b.as_py()), np.uint8) | (once & new)
-                once |= new
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.ZstdCompressor(1).compress(twice.tobytes())])], names=["slice", "twice"])
+            once += [_unpack(x.as_py()) for x in batch.column(1)]
+            twice += [_unpack(x.as_py()) for x in batch.column(2)]
+        all_once = np.sort(np.concatenate(once))
+        slots = np.concatenate([all_once[1:][all_once[1:] == all_once[:-1]], *twice])
+        head = np.uint64(key[0].as_py()) << np.uint64(slot_bits - slice_bits)
+        bits = np.zeros(1 << part_bits, bool)
+        for place in SharedTokens.places(slots + head - np.uint64(1), part_bits):
+            bits[place.astype(np.int64)] = True
+        packed = zstandard.ZstdCompressor(1).compress(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed])], names=["slice", "bits"])
 
     marked = docs.select("text").mapInArrow(mark, "slice int, once binary, twice binary")
-    out = np.zeros(size, np.uint8)
-    for row in marked.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect():  # SLICES rows of fixed size
-        part = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
-        out[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
-    return out
+    table = np.zeros((1 << settings.filter_bits) // 8, np.uint8)
+    for row in marked.groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():  # the filter: of fixed size
+        part = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
+        table[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
+    return SharedTokens(table, slot_bits, slice_bits)
 
 
-def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> DataFrame:
-    """(doc, line, low, high, size, sketch, prefix) of every line with tokens; prefix: (word, place) of its rarest tokens
-    without those seen once, and the sketch is null if none is left."""
+def index_lines(docs: DataFrame, table: SharedTokens, settings: LineSettings) -> DataFrame:
+    """(doc, line, low, high, size, alone, sketch, prefix) of every line that may match another; prefix: (word, place) of its
+    rarest tokens without those seen once; alone: some token was seen once, so that no other line is equal."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = shared.value
+        held = shared.value
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for first, rows, part, at in blocks(raw, offsets):
@@ -172,33 +247,48 @@ def index_lines(docs: DataFrame, table: np.ndarray, settings: LineSettings) -> D
                     continue
                 starts = _starts(line)
                 size = np.diff(np.append(starts, len(line)))
-                low, high = _class_hashes(token, starts)
-                sketch = np.bitwise_or.reduceat(np.uint64(1) << (mix(token) >> np.uint64(58)), starts).view(np.int64)
-                place, bit = _slots(token)
-                often = (twice[place] & bit) != 0
+                often = held.may_hold(token)
                 unique = size - np.add.reduceat(often, starts, dtype=np.int64)
                 prefix = size - -(-settings.percent * size // 100) + 1
+                # Lines with a whole prefix of tokens seen once match nothing.
+                stays = np.flatnonzero((unique == 0) | ((unique < prefix) & (unique < size)))
+                index = np.repeat(np.arange(len(stays)), size[stays])
+                places = np.repeat(starts[stays] - np.append(0, np.cumsum(size[stays]))[:-1], size[stays]) + np.arange(len(index))
+                token, often, which = token[places], often[places], line[starts[stays]]
+                size, unique, prefix = size[stays], unique[stays], prefix[stays]
+                if not len(stays):
+                    continue
+                low, high = _class_hashes(token, np.append(0, np.cumsum(size))[:-1])
+                sketch = np.bitwise_or.reduceat(np.uint64(1) << (mix(token) >> np.uint64(58)), np.append(0, np.cumsum(size))[:-1]).view(np.int64)
                 # Tokens seen once fill the first places; of the others, by hash, those that still fall into the prefix.
                 kept = np.flatnonzero(often)
-                order = kept[np.lexsort((token[kept], line[kept]))]
-                index = np.repeat(np.arange(len(starts)), size)[order]
-                count = np.bincount(index, minlength=len(starts))
+                order = kept[np.lexsort((token[kept], index[kept]))]
+                index = index[order]
+                count = np.bincount(index, minlength=len(stays))
                 position = np.arange(len(order)) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + unique[index]
                 chosen = (position < prefix[index]) & ((size[index] > 1) | (settings.percent <= 50))
-                ends = np.append(0, np.cumsum(np.bincount(index[chosen], minlength=len(starts)))).astype(np.int32)
+                ends = np.append(0, np.cumsum(np.bincount(index[chosen], minlength=len(stays)))).astype(np.int32)
                 entries = pa.StructArray.from_arrays(
                     [pa.array(token[order][chosen].view(np.int64)), pa.array(position[chosen].astype(np.int32))], names=["word", "place"]
                 )
-                which = line[starts]
                 ids = batch.column(0).slice(first, rows).take(pa.array(owner[which]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(number[which].astype(np.int32)), pa.array(low), pa.array(high), pa.array(size.astype(np.int32)), pa.array(sketch, mask=np.diff(ends) == 0), pa.ListArray.from_arrays(pa.array(ends), entries)],
-                    names=["doc", "line", "low", "high", "size", "sketch", "prefix"],
-                )
+                    [
+                        ids,
+                        pa.array(number[which].astype(np.int32)),
+                        pa.array(low),
+                        pa.array(high),
+                        pa.array(size.astype(np.int32)),
+                        pa.array(unique > 0),
+                        pa.array(sketch, mask=np.diff(ends) == 0),
+                        pa.ListArray.from_arrays(pa.array(ends), entries),
+                    ],
+                    names=["doc", "line", "low", "high", "size", "alone", "sketch", "prefix"],
+                )
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "text").mapInArrow(
-        run, f"doc {kind}, line int, low long, high long, size int, sketch long, prefix array<struct<word: bigint, place: int>>"
+        run, f"doc {kind}, line int, low long, high long, size int, alone boolean, sketch long, prefix array<struct<word: bigint, place: int>>"
     )
 
 
@@ -269,7 +359,7 @@ def _later_in_clusters(ties: DataFrame, found: DataFrame, docs: DataFrame, class
     nodes = cut(nodes.select(F.col("node").alias("low"), F.coalesce("component", "node").alias("cluster")), "lines-nodes")
     sets = _sets_of(nodes.select("low"), docs, classes, settings).select("low", "high", "place.doc", "place.line", "items")
     held = sets.join(nodes, "low").join(found.withColumn("found", F.lit(True)), ["low", "high"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    size = held.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / settings.block_items).cast("int").alias("blocks"))
+    size = held.groupBy("cluster").agg(block_count("items", settings.block_items, settings.block_rows).alias("blocks"))
     dealt = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("low", "high"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "low", "high", "doc", "line", "found", "items")
@@ -282,12 +372,12 @@ def _later_in_clusters(ties: DataFrame, found: DataFrame, docs: DataFrame, class
         order = np.argsort(~null, kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
         first = np.flatnonzero(table["block"].to_numpy() == table["i"].to_numpy())
-        both, union = overlaps(table["items"].combine_chunks(), first)
-        match = both * 100 >= settings.percent * union
         rank = np.arange(len(table))
         later = np.zeros(len(table), bool)
-        later[first] = (match & (rank[None, :] < first[:, None])).any(axis=1)
-        later |= (match & (rank[None, :] > first[:, None])).any(axis=0)
+        for part, both, union in overlaps(table["items"].combine_chunks(), first):
+            match = both * 100 >= settings.percent * union
+            later[part] |= (match & (rank[None, :] < part[:, None])).any(axis=1)
+            later |= (match & (rank[None, :] > part[:, None])).any(axis=0)
         out = np.flatnonzero(later & ~table["found"].to_numpy())
         return table.select(["low", "high"]).take(pa.array(out))
 
@@ -300,7 +390,9 @@ def duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id
     lines = cut(index_lines(docs, seen_twice(docs, settings), settings), "lines-index")
     key = ["low", "high"]
     head = F.min(F.struct("doc", "line", "size", "sketch", "prefix")).alias("head")
-    heads = cut(lines.groupBy(*key).agg(head, F.count("*").alias("n")).select(*key, "head.*", "n"), "lines-classes")
+    same = lines.where("not alone").groupBy(*key).agg(head, F.count("*").alias("n")).select(*key, "head.*", "n")
+    single = lines.where("alone").select(*key, "doc", "line", "size", "sketch", "prefix", F.lit(1).cast("long").alias("n"))
+    heads = cut(same.unionByName(single), "lines-classes")
     classes = heads.select(*key, "doc", "line", "n")
     postings = heads.where(F.size("prefix") > 0).select(F.col("low").alias("cid"), "size", "sketch", "doc", "line", F.explode("prefix").alias("p"))
     postings = postings.select("p.word", "cid", "size", F.col("p.place").alias("place"), "sketch", "doc", "line")
@@ -326,10 +418,14 @@ def duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id
     if not ties.isEmpty():
         found = found.union(_later_in_clusters(ties, found, docs, classes, settings)).distinct()
 
-    # Later lines of a class go, and the first one if an earlier class matches.
+    # Later lines of a class go, and the first one if an earlier class matches. The few classes with a large share of the
+    # lines (2,000 at most) are told to every task, so that no task gets all lines of such a class.
     hit = classes.join(found.withColumn("matched", F.lit(True)), key, "left").where("n > 1 or matched")
-    hit = hit.select(*key, F.col("doc").alias("d"), F.col("line").alias("k"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = lines.select("doc", "line", *key).join(hit, key)
+    hit = cut(hit.select(*key, "n", F.col("doc").alias("d"), F.col("line").alias("k"), F.coalesce("matched", F.lit(False)).alias("matched")), "lines-hit")
+    members = lines.select("doc", "line", *key)
+    large = F.col("n") > max(1000, lines.count() // 2000)
+    told = F.broadcast(hit.where(large))
+    gone = members.join(told, key).unionByName(members.join(told.select(*key), key, "left_anti").join(hit.where(~large), key))
     return gone.where("matched or not (doc <=> d and line <=> k)").select("doc", "line")
 
 
@@ -340,15 +436,17 @@ def drop_duplicate_lines(
 
     With ``drop_emptied``, documents of which nothing but white space is left by the removal go too; texts that were empty stay.
     """
-    found = _without(docs, duplicate_lines(docs, settings, id_col, text_col), settings, id_col, text_col)
+    found = _without(docs, settings, id_col, text_col)
     if drop_emptied:
         found = found.where(~((F.col("n_removed") > 0) & F.coalesce(F.col("kept_text").rlike(r"^\s*$"), F.lit(False))))
     return found.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def _without(docs: DataFrame, gone: DataFrame, settings: LineSettings, id_col: str, text_col: str) -> DataFrame:
+def _without(docs: DataFrame, settings: LineSettings, id_col: str, text_col: str) -> DataFrame:
     """(row, kept_text, n_lines, n_removed): the rows of ``docs`` as structs, so that no column of theirs clashes with others."""
-    lists = cut(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines-gone")  # lines of one document
+    with consumed(docs.sparkSession) as keep:
+        gone = duplicate_lines(docs, settings, id_col, text_col)
+        lists = keep(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines-gone")  # lines of one document
     size = lists.agg(F.sum(F.size("lines"))).first()[0] or 0
     side = F.broadcast(lists) if size <= 4 * settings.broadcast_rows else lists
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("whole"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
@@ -365,5 +463,5 @@ def _without(docs: DataFrame, gone: DataFrame, settings: LineSettings, id_col: s
 
 def line_report(docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, text): every document with its lines counted and the text that is left."""
-    found = _without(docs.select(id_col, text_col), duplicate_lines(docs, settings, id_col, text_col), settings, id_col, text_col)
+    found = _without(docs.select(id_col, text_col), settings, id_col, text_col)
     return found.select(F.col("row").getField(id_col).alias(id_col), "n_lines", "n_removed", F.col("kept_text").alias(text_col))
