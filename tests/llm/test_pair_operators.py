@@ -3,6 +3,7 @@ import hashlib
 import duckdb
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from smoothspan.llm import containment, quote_links, registry, temporal_lists
@@ -146,6 +147,25 @@ def test_containment(spark, sf_dir, texts, docs, odd, empty):
     assert contained_items(empty, mine).count() == 0 and contained_items(odd, mine.limit(0)).count() == 0
 
 
+def test_size_partitions_have_their_own_thresholds(spark):
+    """Items of very different sizes, some in documents, of which a quarter of the words may differ."""
+    import random
+
+    r = random.Random(8)
+    items = [(k, " ".join(f"i{k}w{n}" for n in range(size))) for k, size in enumerate([5, 6, 9, 12, 20, 33, 64, 200, 700])]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        for copy in range(4):
+            kept = [x if r.random() > 0.04 * copy else f"o{r.random()}" for x in w]
+            docs.append((len(docs), " ".join([*(f"b{r.random()}" for _ in range(50)), *kept, *(f"e{r.random()}" for _ in range(400))])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for settings in (containment.ContainmentSettings(), containment.ContainmentSettings(broadcast_rows=0)):
+        got = {(r["doc_id"], r["item_id"]) for r in contained_items(d, i, settings).collect()}
+        assert got == brute.contained(docs, items) and len({x for _, x in got}) == len(items)
+
+
 # Fingerprints.
 
 
@@ -162,36 +182,102 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_fingerprints(spark, texts):
-    part = texts[:60]
-    df = spark.createDataFrame(part, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in version_fingerprints(df).collect()}
+def parsed(fingerprint):
+    n, width, cells = fingerprint.split(";")
+    out = {}
+    for x in filter(None, cells.split(",")):
+        i, c, k, h = x.split(":")
+        out[int(i)] = (int(c), int(k, 16), int(h, 16))
+    return int(n), int(width), out
+
+
+def likeness_of(a, b):
+    """Likeness from two fingerprint strings alone, by folding, subtracting and peeling; None if cells stay."""
+    (n, wa, ca), (_, wb, cb) = parsed(a), parsed(b)
+    w = min(wa, wb)
+    cells = {}
+    for sign, table in ((1, ca), (-1, cb)):
+        for i, (c, k, h) in table.items():
+            i = (i // 3 & (w - 1)) * 3 + i % 3
+            x = cells.get(i, (0, 0, 0))
+            cells[i] = (x[0] + sign * c, x[1] ^ k, x[2] ^ h)
+    only = {1: 0, -1: 0}
+    todo = list(cells)
+    while todo:
+        c, k, h = cells[todo.pop()]
+        if abs(c) != 1 or h != xxhash.xxh64_intdigest(bytes(4), xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)):
+            continue
+        places = [(h >> 20 * p & (w - 1)) * 3 + p for p in range(3)]
+        only[c] += 1
+        for i in places:
+            x = cells.get(i, (0, 0, 0))
+            cells[i] = (x[0] - c, x[1] ^ k, x[2] ^ h)
+        todo += places
+    if any(x != (0, 0, 0) for x in cells.values()):
+        return None
+    return (n - only[1]) / (n + only[-1]) if n + only[-1] else 1.0
+
+
+def check_fingerprints(part, got):
+    """All columns of the query against plain Python; likeness without retries also from the fingerprint strings alone."""
+    by, peeled = {}, 0
     for k, (i, text) in enumerate(part):
-        after = part[(k + 1) % len(part)][1]
+        after = part[(k + 1) % len(part)]
+        text, behind = text or "", after[1] or ""
         edit = len(text) // 4
-        edited = text[: len(text) - edit] + after[:edit]
+        edited = text[: len(text) - edit] + behind[:edit]
         r = got[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["near_edited"] == pytest.approx(jaccard(pieces(text), pieces(edited)))
-        assert r["near_next"] == pytest.approx(jaccard(pieces(text), pieces(after)))
-    by = {}
-    for i, text in part:
-        assert by.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
+        assert r["near_next"] == pytest.approx(jaccard(pieces(text), pieces(behind)))
+        for tries, near, other in ((r["retries_edited"], r["near_edited"], r["edited_fingerprint"]), (r["retries_next"], r["near_next"], got[after[0]]["fingerprint"])):
+            alone = likeness_of(r["fingerprint"], other)
+            assert (alone is not None) == (tries == 0)
+            if tries == 0:
+                peeled += 1
+                assert alone == pytest.approx(near)
+        assert by.setdefault(text, r["fingerprint"]) == r["fingerprint"] and by.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
+    return peeled
+
+
+def test_fingerprints(spark, sf_dir, texts):
+    got = {r["doc_id"]: r for r in registry.op7_paragraph_iblt(spark, sf_dir).collect()}
+    assert check_fingerprints(texts, got) > len(texts) // 2
+    assert {r["retries_next"] for r in got.values()} & {1, 2}
+
+
+@pytest.mark.parametrize("settings", [IbltSettings(broadcast_rows=0, block_rows=7), IbltSettings(retries=0), IbltSettings(share=0.05, retries=1, rounds=2)])
+def test_fingerprints_by_other_ways(spark, texts, settings):
+    """By shuffles, and with tables that are too small, so that the lists of digests decide."""
+    part = texts[:40]
+    got = {r["doc_id"]: r for r in version_fingerprints(spark.createDataFrame(part, "doc_id long, text string"), settings).collect()}
+    for k, (i, text) in enumerate(part):
+        after = part[(k + 1) % len(part)][1]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        assert got[i]["near_edited"] == pytest.approx(jaccard(pieces(text), pieces(edited)))
+        assert got[i]["near_next"] == pytest.approx(jaccard(pieces(text), pieces(after)))
+    assert settings.retries or settings.retries + 1 in {r["retries_next"] for r in got.values()}
 
 
 def test_differences_are_recovered(spark):
     rows = [("\n".join(f"line {k}" for k in range(n)), "\n".join(f"line {k}" for k in range(3, n + m))) for n, m in ((5, 2), (80, 40), (0, 0))]
     pairs = spark.createDataFrame(rows, "old string, new string")
-    for r in recovered_differences(pairs, "old", "new").collect():
-        a, b = pieces(r["old"]), pieces(r["new"])
-        assert (len(r["only_old"]), len(r["only_new"])) == (len(a - b), len(b - a))
+    for settings in (IbltSettings(), IbltSettings(share=0.01, retries=0)):
+        for r in recovered_differences(pairs, "old", "new", settings).collect():
+            a, b = pieces(r["old"]), pieces(r["new"])
+            assert (len(set(r["only_old"])), len(set(r["only_new"]))) == (len(a - b), len(b - a))
+            assert len(set(r["only_old"])) == len(r["only_old"])
 
 
 def test_fingerprints_of_odd_rows(spark, odd, empty):
-    got = version_fingerprints(odd.where("doc_id is null or doc_id <> 7")).toPandas()
-    assert len(got) == odd.count() - 1 and got["near_next"].between(0, 1).all()
+    got = version_fingerprints(odd).toPandas()
+    assert len(got) == odd.count() and got["near_next"].between(0, 1).all()
     four = got[got["doc_id"] == 4].iloc[0]
     assert four["near_edited"] == 1 and four["near_next"] == 1 and four["n_chars"] == 0
+    long = {r["doc_id"]: r["text"] for r in odd.where("doc_id in (7, 8)").collect()}
+    seven, edit = got[got["doc_id"] == 7].iloc[0], len(long[7]) // 4
+    assert seven["n_chars"] == len(long[7]) and seven["near_next"] == 0
+    assert seven["near_edited"] == pytest.approx(jaccard(pieces(long[7]), pieces(long[7][: len(long[7]) - edit] + long[8][:edit])))
     assert version_fingerprints(empty).count() == 0
     one = version_fingerprints(spark.createDataFrame([(3, "abcd efgh")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
@@ -274,6 +360,12 @@ def test_temporal_lists(spark):
     assert len(got) == len(captures)
     assert by == {1: (None, False), 2: ("bad.com", True), 3: ("bad.com", True), 4: ("bad.com", False), 5: ("a.bad.com", False), 6: ("a.bad.com", True), 7: (None, False), 8: (None, False), 9: ("x.org", True), 10: (None, False)}
     assert got[got["id"].isna()]["blocked"].all()
+    # A cleared entry of one list doesn't hide a block of another one at the same pattern.
+    two = spark.createDataFrame([("ads", "q.net", 1, 0), ("ads", "q.net", 0, 10), ("malware", "q.net", 1, 5), ("malware", "q.net", 0, 90)], "list string, pattern string, action int, at long")
+    asked = spark.createDataFrame([(1, "http://q.net/", 7), (2, "http://w.q.net/", 20), (3, "http://q.net/", 95)], "id long, url string, at long")
+    got = {r["id"]: (r["list"], r["blocked"]) for r in temporal_join(asked, two).collect()}
+    assert got == {1: ("ads", True), 2: ("malware", True), 3: ("ads", False)}
+    c = spark.createDataFrame(captures, "id long, url string, at long")
     assert temporal_join(c.limit(0), e).count() == 0 and not temporal_join(c, e.limit(0)).where("blocked").count()
 
 
@@ -288,3 +380,57 @@ def test_queries_against_sql(spark, sf_dir, name):
 
 def test_sql_modules():
     assert temporal_lists.ORACLE_SQL and containment.ORACLE_SQL
+
+
+# Memory.
+
+
+def _peak_growth(code):
+    """MB that a piece of code adds to the peak memory of a fresh process."""
+    import subprocess
+    import sys
+
+    run = "import resource\n%s\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nwork()\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"
+    return float(subprocess.run([sys.executable, "-c", run % code], capture_output=True, text=True, check=True, timeout=300).stdout.split()[-1])
+
+
+def test_memory_of_a_block_of_small_sets():
+    code = """
+import numpy as np, pyarrow as pa
+from smoothspan.llm.blockwise import overlaps
+r = np.random.default_rng(1)
+sets = pa.array([sorted(set(r.integers(0, 3000, 6).tolist())) for _ in range(11000)], pa.list_(pa.int64()))
+def work():
+    assert sum(len(part) for part, both, union in overlaps(sets, np.arange(2048))) == 2048
+"""
+    assert _peak_growth(code) < 250
+
+
+def test_memory_of_a_long_text():
+    code = """
+import pyarrow as pa
+from smoothspan.llm.super_minhash import MinHashSettings, sign_column
+text = pa.array([" ".join(f"word{i % 9777} part{i % 31}" for i in range(1_500_000))])
+def work():
+    assert sign_column(text, MinHashSettings())[0][0] > 100_000
+"""
+    assert _peak_growth(code) < 300
+
+
+def test_words_and_signatures_in_parts(monkeypatch):
+    """A scan by small pieces, and a signature of parts of a set, give the same as the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from smoothspan.llm import bytescan
+    from smoothspan.llm.super_minhash import super_minhash
+
+    texts = ["Ab cd\n" + "x" * 300 + " é " * 40, "", "one", " two  three\t" * 30]
+    raw, offsets = bytescan.text_buffers(pa.array(texts))
+    whole = bytescan.words(raw, offsets)
+    for size in (1, 3, 64):
+        monkeypatch.setattr(bytescan, "BLOCK_BYTES", size)
+        monkeypatch.setattr(bytescan, "_powers", {})
+        assert all(np.array_equal(a, b) for a, b in zip(whole, bytescan.words(raw, offsets)))
+    owner, item = np.repeat(np.arange(3), [5, 400, 90]), np.arange(495, dtype=np.uint64)
+    assert np.array_equal(super_minhash(owner, item, 4, 64), super_minhash(owner, item, 4, 64, most_items=37))

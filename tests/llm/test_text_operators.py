@@ -234,3 +234,53 @@ def test_scorer_words_without_spaces_do_not_crash(spark):
 
     scorer = ToxicScorer(ToxicModel(("idiot",)))
     assert scorer.features(pa.array(["x" * 100_000, "idiot" * 3, "IDIOT!"]))[:, 1].tolist()[2] > 0
+
+
+def test_long_secrets_are_permuted_whole():
+    r = random.Random(5)
+    for n in (8, 170, 256, 257, 400, 1000, 5000):
+        values = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for _ in range(12)]
+        seen = []
+        for v in values:
+            text = f"password={v} end"
+            new, count = pseudonymise_text(text, Pseudonymiser(KEY))
+            assert count == 1 and len(new) == len(text) and pseudonymise_text(new, Pseudonymiser(KEY, inverse=True))[0] == text
+            assert pseudonymise_text(text, Pseudonymiser(KEY))[0] == new
+            seen.append((v, new[9 : 9 + n]))
+        assert all(any(a[k] != b[k] for a, b in seen) for k in range(n))  # no place stays as it was
+        v = values[0]
+        other = v[:-1] + ("a" if v[-1] != "a" else "b")
+        near = pseudonymise_text(f"password={other} end", Pseudonymiser(KEY))[0][9 : 9 + n]
+        if n > 100:
+            assert sum(a == b for a, b in zip(near[:50], seen[0][1][:50])) < 20  # the last character matters for the first
+
+
+def test_dates_stay_linked_across_layouts():
+    import datetime as dt
+
+    def new(text):
+        return Pseudonymiser(KEY).date(text)
+
+    seen = set()
+    for k in range(0, 3700, 7):
+        day = dt.date(2010, 1, 1) + dt.timedelta(days=k)
+        iso = new(f"{day:%Y-%m-%d}")
+        y, m, d = iso.split("-")
+        assert new(f"{day:%Y/%m/%d}") == f"{y}/{m}/{d}" and new(f"{day:%d.%m.%Y}") == f"{d}.{m}.{y}" and new(f"{day:%m/%d/%Y}") == f"{m}/{d}/{y}"
+        if day.day > 12:
+            assert new(f"{day:%d/%m/%Y}") == f"{d}/{m}/{y}"
+        assert Pseudonymiser(KEY, inverse=True).date(iso) == f"{day:%Y-%m-%d}"
+        seen.add(iso)
+    assert len(seen) == len(range(0, 3700, 7))
+
+
+def test_long_words_are_walked():
+    from smoothspan.llm.lexicon_automaton import ToxicScorer, readings
+
+    assert readings('"Foo-bar!"') == {"foo-bar", "foo", "bar"} and readings("word") == {"word"} and readings("--") == set()
+    scorer = ToxicScorer(ToxicModel(("moronic",), ("idio",), (0.0,)))
+    for n in (40, 80, 400):
+        assert scorer._edits("idio" + "x" * n) == 0
+        assert scorer._edits("x" * n + "/moronic/" + "y" * n) == 0 and scorer._edits("x" * n + "-moronik") == 1 and scorer._edits("z" * n) == -1
+    found = scorer.features(pa.array(["a " + "z" * 300 + "_moronic b", "nothing " + "z" * 300]))
+    assert found[:, 2].tolist() == [1.0, 0.0]
