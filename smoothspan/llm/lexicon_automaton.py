@@ -44,7 +44,7 @@ class ToxicSettings:
     purity: float = 0.8
     max_terms: int = 3000
     window: int = 160
-    known_words: int = 50_000
+    known_words: int = 200_000
 
 
 @dataclass(frozen=True)
@@ -98,8 +98,8 @@ class LexiconAutomaton:
         todo = list(nodes)
         while todo:  # letters of the term that the word lacks
             node = todo.pop()
-            for to in self.child[node].values():
-                e = nodes[node] + 1
+            e = nodes[node] + 1
+            for to in self.child[node].values() if e <= self.allowed[node] else ():
                 if e <= self.allowed[to] and e < nodes.get(to, 99):
                     nodes[to] = e
                     todo.append(to)
@@ -121,12 +121,14 @@ class LexiconAutomaton:
         nodes: dict[int, int] = {}
         for x in array("i", self.states[state]):
             node, e = divmod(x, 4)
-            if e + 1 <= self.allowed[node]:  # a letter too many
+            to = self.child[node].get(c)
+            if to is not None and e <= self.allowed[to]:
+                nodes[to] = min(nodes.get(to, 99), e)
+            if e + 1 <= self.allowed[node]:  # a letter too many, or another letter
                 nodes[node] = min(nodes.get(node, 99), e + 1)
-            for letter, to in self.child[node].items():
-                cost = e + (letter != c)
-                if cost <= self.allowed[to]:
-                    nodes[to] = min(nodes.get(to, 99), cost)
+                for to in self.child[node].values():
+                    if e + 1 <= self.allowed[to]:
+                        nodes[to] = min(nodes.get(to, 99), e + 1)
         held = 0 if self.absorbed[state] else None
         to = self._state(nodes, held) if nodes or held is not None else -1
         self.moves[state][c] = to
