@@ -7,10 +7,12 @@ model with MLlib over the whole cluster, for data whose training part would not
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -41,10 +43,10 @@ class FoldTask:
         return f"model {self.model_id}, repeat {self.repeat}, fold {self.fold}"
 
 
-def _stratified(y: np.ndarray, splits: int, seed: int) -> np.ndarray:
-    """Fold of each row: shuffled by seed, dealt round-robin in class order."""
-    order = np.random.default_rng(seed).permutation(len(y))
-    order = order[np.argsort(y[order].astype(str), kind="stable")]
+def inner_folds(y: np.ndarray, row_id: np.ndarray, splits: int, seed: int) -> np.ndarray:
+    """The folds that ``assign_folds`` gives for one repeat, counted from 0: ranked by hash within a class, classes in order."""
+    keys = np.array([hashlib.md5(f"{seed}-1-{i}".encode()).hexdigest() for i in row_id], dtype=object)
+    order = np.lexsort((row_id.astype(str), keys.astype(str), y.astype(str)))
     folds = np.empty(len(y), np.int64)
     folds[order] = np.arange(len(y)) % splits
     return folds
@@ -63,7 +65,7 @@ def _need_converged(fit: Fit, strict: bool, where: str) -> Fit:
 def search_numpy(data: pd.DataFrame, features: dict[str, Feature], pairs: list, grid: list[dict], splits: int, seed: int, classes: list[str], strict: bool) -> list[dict]:
     """Mean and deviation of the log loss of every candidate over the same inner folds."""
     y = data["y"].to_numpy(dtype=object)
-    folds = _stratified(y, splits, seed)
+    folds = inner_folds(y, data["row_id"].to_numpy(dtype=object), splits, seed)
     losses: dict[int, list[float]] = {c["ordinal"]: [] for c in grid}
     for fold in range(splits):
         train, test = data[folds != fold], data[folds == fold]
@@ -206,8 +208,26 @@ def design_cells(rows: int, contract: Contract, features: dict[str, Feature]) ->
     return rows * most
 
 
-def final_fit(bound: DataFrame, contract: Contract, features: dict[str, Feature], model: Model, classes: list[str], grouped: bool) -> tuple[AdditiveModel, list[dict]]:
-    """Inner search on all rows with the seed random_state, then the fit of the best candidate on all rows."""
+def fits_one_task(bound: DataFrame, contract: Contract, features: dict[str, Feature]) -> bool:
+    return design_cells(bound.count(), contract, features) <= GROUPED_MOST
+
+
+def run_predictions(bound: DataFrame, assigned: DataFrame, contract: Contract, features: dict[str, Feature], tasks: list[FoldTask], classes: list[str]) -> DataFrame:
+    """The out-of-fold predictions (model_id, repeat, fold and the columns of a prediction) by the backend that the size calls for."""
+    if fits_one_task(bound, contract, features):
+        found = run_grouped(bound, assigned, contract, features, tasks, classes).where("kind = 'prediction'")
+        return found.drop("kind", "payload")
+    parts = []
+    for task, predictions, _, _ in run_distributed(bound, assigned, contract, features, tasks, classes):
+        parts.append(predictions.select(F.lit(task.model_id).alias("model_id"), F.lit(task.repeat).cast("long").alias("repeat"), F.lit(task.fold).cast("long").alias("fold"), *predictions.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def final_fit(bound: DataFrame, contract: Contract, features: dict[str, Feature], model: Model, classes: list[str], grouped: bool | None = None) -> tuple[AdditiveModel, list[dict]]:
+    """Inner search on all rows with the seed random_state, then the fit of the best candidate on all rows. The backends differ
+    in speed only; unless told, the one is taken that the size of the design calls for."""
+    if grouped is None:
+        grouped = fits_one_task(bound, contract, features)
     v, strict = contract.validation, contract.execution.stop_on_convergence_warning
     grid, pairs = candidates(contract.search, model.interactions != "none"), contract.pairs(model)
     if not grouped:
@@ -227,4 +247,4 @@ def final_fit(bound: DataFrame, contract: Contract, features: dict[str, Feature]
     return AdditiveModel.from_dict(found["model"]), found["trials"]
 
 
-__all__ = ["FoldTask", "best_candidate", "design_cells", "final_fit", "first_best", "fold_tasks", "run_distributed", "run_grouped"]
+__all__ = ["FoldTask", "best_candidate", "design_cells", "final_fit", "first_best", "fold_tasks", "run_distributed", "run_grouped", "run_predictions"]

@@ -562,13 +562,13 @@ def _cross_validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Contr
     features = resolve_categories(raw, contract)
     assigned = folds.assign_folds(bound.select("row_index", "row_id", "y"), "y", "row_id", 3, 1, 42)
     tasks = search.fold_tasks(contract, contract.models[0])
-    return search.run_grouped(bound, assigned, contract, features, tasks, STATUS), contract
+    return search.run_predictions(bound, assigned, contract, features, tasks, STATUS), contract
 
 
 @query()
 def oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = _cross_validated(spark, sf_dir)
-    return found.where("kind = 'prediction'").select("model_id", "repeat", "fold", "row_id", "observed", "predicted", "p_true")
+    return found.select("model_id", "repeat", "fold", "row_id", "observed", "predicted", "p_true")
 
 
 @query()
@@ -580,7 +580,7 @@ def nested_cv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_fit_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = _contract("orders", *_QUICK)
     raw = _orders(spark, sf_dir)
-    model, _ = search.final_fit(bind(raw, contract), contract, resolve_categories(raw, contract), contract.models[1], STATUS, grouped=True)
+    model, _ = search.final_fit(bind(raw, contract), contract, resolve_categories(raw, contract), contract.models[1], STATUS)
     return explain.components(spark, model)
 
 
@@ -592,8 +592,8 @@ def binary_quality_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = Contract("quality", "labels", "quality", features, (Model("main"),), "doc_id", *_QUICK, Execution(1)).validate()
     bound = bind(raw, contract)
     assigned = folds.assign_folds(bound.select("row_index", "row_id", "y"), "y", "row_id", 3, 1, 42)
-    found = search.run_grouped(bound, assigned, contract, resolve_categories(raw, contract), search.fold_tasks(contract, contract.models[0]), ["0", "1"])
-    return metrics.class_metrics(found.where("kind = 'prediction'"), ["0", "1"], ["model_id", "repeat", "fold"])
+    found = search.run_predictions(bound, assigned, contract, resolve_categories(raw, contract), search.fold_tasks(contract, contract.models[0]), ["0", "1"])
+    return metrics.class_metrics(found, ["0", "1"], ["model_id", "repeat", "fold"])
 
 
 @query()
