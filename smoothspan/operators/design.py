@@ -70,10 +70,21 @@ class Design:
                 sums.append(F.count_if(not_finite(value)))
                 labels.append(f"{name}: infinite values")
         counts = df.agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).first()
-        bad = [f"{label} ({n})" for label, n in zip(labels, counts, strict=True) if n]
+        bad = []
+        for label, n in zip(labels, counts, strict=True):
+            if n:
+                name = label.split(": values outside", 1)[0] if ": values outside" in label else None
+                bad.append(f"{label} ({n}{f': {self._unknown(df, name)}' if name else ''})")
         if bad:
             raise DataValidationError("; ".join(bad))
 
+    def _unknown(self, df: DataFrame, name: str, most: int = 10) -> str:
+        """The first undeclared categories by name; looked for only when some were counted."""
+        value = self._raw(name)
+        odd = df.where(value.isNotNull() & ~value.isin(list(self.features[name].categories))).select(value.alias("v")).distinct()
+        found = [repr(r["v"]) for r in odd.orderBy("v").limit(most + 1).collect()]
+        return ", ".join(found[:most]) + (", ..." if len(found) > most else "")
+
     def _raw(self, name: str) -> Column:
         return F.col(f"`{name}`").cast("string") if self.features[name].role == "categorical" else number(name)
 

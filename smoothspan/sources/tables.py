@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import tempfile
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from smoothspan.errors import DataValidationError
 
@@ -53,32 +54,43 @@ def with_row_index(df: DataFrame, name: str = "row_index", order_by: list[str] |
     """Consecutive numbers from 0, in the order given or else in file order, without a single-task sort.
 
     Rows per partition are counted and give the offsets. A plan without exchanges (a scan) has the same partitions each time it
-    runs and is numbered by expressions; other plans are numbered as one RDD, so that both passes see the same partitions.
+    runs; other plans are written to the checkpoint folder first, so that both passes see the same partitions even if executors
+    are lost. Numbers are expressions in any case.
     """
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
-        placed = df.withColumn("placed_", F.monotonically_increasing_id())
-        part = F.shiftright("placed_", 33).cast("int")
-        counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-        offsets, total = [0] * (counts[-1][0] + 1 if counts else 1), 0
-        for k, n in counts:
-            offsets[k], total = total, total + n
-        start = F.get(F.array(*[F.lit(n).cast("long") for n in offsets]), part) if len(offsets) <= 10_000 else None
-        if start is not None:
-            return placed.withColumn(name, start + F.col("placed_").bitwiseAND((1 << 33) - 1)).drop("placed_")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        context = df.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:  # as in tests; a cluster names a shared folder in spark.checkpoint.dir
+            context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rows-"))
+        df = df.checkpoint()
+    placed = df.withColumn("placed_", F.monotonically_increasing_id())
+    part = F.shiftright("placed_", 33).cast("int")
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for k, n in counts:  # one for each partition
+        starts.append((k, total))
+        total += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "part_ int, start_ long"))
+    numbered = placed.join(starts, part == F.col("part_"))
+    return numbered.withColumn(name, F.col("start_") + F.col("placed_").bitwiseAND((1 << 33) - 1)).drop("placed_", "part_", "start_")
 
 
 def sha256_file(path: str | Path) -> str:
-    """Digest of a file in blocks; of a directory, of its data files in order of name."""
-    path, digest = Path(path), hashlib.sha256()
-    files = [path] if path.is_file() else sorted(p for p in path.rglob("*") if p.is_file() and not p.name.startswith(("_", ".")))
-    for file in files:
-        with file.open("rb") as stream:
-            while block := stream.read(1 << 20):
-                digest.update(block)
+    """Digest of a file in blocks; of a directory, of the names and digests of its data files.
+
+    In a session, the files of a directory are read by the executors, and only names and digests come to the driver."""
+    path, digest, spark = Path(path), hashlib.sha256(), SparkSession.getActiveSession()
+    if not path.is_file() and spark is not None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(path))
+        found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256")).collect()
+        return stable_hash(sorted((r["name"], r["sha256"]) for r in found))
+    if not path.is_file():
+        files = sorted(p for p in path.rglob("*") if p.is_file() and not p.name.startswith(("_", ".")))
+        return stable_hash(sorted((p.name, sha256_file(p)) for p in files))
+    with path.open("rb") as stream:
+        while block := stream.read(1 << 20):
+            digest.update(block)
     return digest.hexdigest()
 
 
@@ -91,15 +103,25 @@ def read_json(path: str | Path) -> Any:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
+def _uniform(seed: int, stream: int) -> Column:
+    """A number in (0, 1) from the first 13 hexadecimal digits of a hash of seed, stream and id: the same on any cluster."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-{stream}-"), F.col("id").cast("string"))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _normal(seed: int, stream: int) -> Column:
+    return F.sqrt(-2 * F.ln(_uniform(seed, stream))) * F.cos(2 * math.pi * _uniform(seed, stream + 1))
+
+
 def demo_table(spark: SparkSession, rows: int = 300, seed: int = 42) -> DataFrame:
-    """Four predictors and a four-class target drawn from a softmax of nonlinear scores."""
+    """Four predictors and a four-class target drawn from a softmax of nonlinear scores; a seed gives the same rows anywhere."""
     x = spark.range(rows).select(
         "id",
-        F.randn(seed).alias("X1"),
-        (F.rand(seed + 1) * 4 - 2).alias("X2"),
-        F.element_at(F.array(*map(F.lit, ("low", "standard", "high"))), (F.rand(seed + 2) * 3 + 1).cast("int")).alias("X3"),
-        F.randn(seed + 3).alias("X4"),
-        F.rand(seed + 4).alias("draw"),
+        _normal(seed, 1).alias("X1"),
+        (_uniform(seed, 3) * 4 - 2).alias("X2"),
+        F.element_at(F.array(*map(F.lit, ("low", "standard", "high"))), F.floor(_uniform(seed, 4) * 3 + 1).cast("int")).alias("X3"),
+        _normal(seed, 5).alias("X4"),
+        _uniform(seed, 7).alias("draw"),
     )
     level = F.when(F.col("X3") == "high", 0.8).when(F.col("X3") == "low", -0.8).otherwise(0.0)
     scores = [F.sin(2 * F.col("X1")) + level, 0.7 * F.col("X2") * F.col("X2") - 1, F.col("X1") * F.col("X4"), 0.5 * F.col("X4") - level]
