@@ -36,16 +36,17 @@ def _ask(prompt: str, default: str) -> str:
 
 
 def _configure(args) -> None:
-    """Roles from the profile (asked for with --interactive), declared categories from the data, two models."""
+    """Roles from the profile (asked for unless --non-interactive), declared categories from the data, two models."""
     spark = get_session()
     df = tables.load_table(spark, args.data)
     tables.check_columns(df, [args.target])
     found = profile(df, args.target)["column_profiles"]
+    asks = not args.non_interactive and sys.stdin is not None and sys.stdin.isatty()  # nobody answers without a terminal
     features = {}
     for name, p in found.items():
         if name in (args.target, args.row_id):
             continue
-        role = _ask(f"role of {name}", p["recommended_role"]) if args.interactive else p["recommended_role"]
+        role = _ask(f"role of {name}", p["recommended_role"]) if asks else p["recommended_role"]
         features[name] = {"role": role, "missing": "error"}
     words = [n for n, f in features.items() if f["role"] == "categorical"]
     if words:
@@ -104,7 +105,7 @@ def _verify_link(args) -> None:
 
 
 def _compare(args) -> None:
-    runs.compare_runs(get_session(), args.left, args.right, args.output)[1].show(truncate=False)
+    runs.compare_runs(get_session(), args.left, args.right, args.output, args.left_model, args.right_model)[1].show(truncate=False)
 
 
 def _scenarios(args):
@@ -115,7 +116,7 @@ def _scenarios(args):
 def _predict(args) -> None:
     _, model, df = _scenarios(args)
     found = (scoring.predict_scenarios if args.short else scoring.predict)(df, model).persist()
-    sinks.write_csv(found, args.output)
+    sinks.write_csv_file(found, args.output)
     found.limit(20).show(truncate=False)
     scoring.predicted_class_counts(found, model.classes).show()
 
@@ -123,7 +124,7 @@ def _predict(args) -> None:
 def _transform(args) -> None:
     _, model, df = _scenarios(args)
     found = scoring.transform(df, model)
-    sinks.write_csv(found, args.output)
+    sinks.write_csv_file(found, args.output)
     print(scoring.component_counts(model))
     found.select(*[f"`{c}`" for c in found.columns[:20]]).limit(20).show(truncate=False)
 
@@ -134,10 +135,10 @@ def _contributions(args) -> None:
     summary = explain.score_summary(long).persist()
     explain.check_score_summary(summary)
     stem = str(Path(args.output).with_suffix(""))
-    sinks.write_csv(long, args.output)
-    sinks.write_csv(summary, f"{stem}_score_summary.csv")
+    sinks.write_csv_file(long, args.output)
+    sinks.write_csv_file(summary, f"{stem}_score_summary.csv")
     metadata = [f"`{c}`" for c in df.columns if c not in model.design.predictors]
-    sinks.write_csv(scoring.with_scenario_id(df).select("scenario_id", *[c for c in metadata if c != "`scenario_id`"]), f"{stem}_scenario_metadata.csv")
+    sinks.write_csv_file(scoring.with_scenario_id(df).select("scenario_id", *[c for c in metadata if c != "`scenario_id`"]), f"{stem}_scenario_metadata.csv")
     explain.top_contributions(long, args.top).orderBy("observation_index", "class", "rank").show(60, truncate=False)
 
 
@@ -157,16 +158,16 @@ def build_parser() -> argparse.ArgumentParser:
 
     need, run_dir, model_id = {"required": True}, ("--run", {"required": True}), ("--model", {"required": True})
     add("profile", _profile, ("--data", need), ("--target", {"default": None}), ("--output", need))
-    add("configure", _configure, ("--data", need), ("--target", need), ("--row-id", {"default": None}), ("--name", {"default": "experiment"}), ("--preset", {"default": "standard", "choices": list(contracts.PRESETS)}), ("--workers", {"type": int, "default": 1}), ("--interactive", {"action": "store_true"}), ("--output", need))
+    add("configure", _configure, ("--data", need), ("--target", need), ("--row-id", {"default": None}), ("--name", {"default": "experiment"}), ("--preset", {"default": "standard", "choices": list(contracts.PRESETS)}), ("--workers", {"type": int, "default": 1}), ("--non-interactive", {"action": "store_true"}), ("--output", need))
     add("plan", _plan, ("--config", need))
-    add("run", _run, ("--config", need), ("--workspace", need))
+    add("run", _run, ("--config", need), ("--workspace", {"default": "workspace"}))
     add("status", _status, run_dir, ("--follow", {"action": "store_true"}))
     add("resume", _resume, run_dir)
     add("pause", lambda a: runs.RunStore(a.run).request("PAUSE"), run_dir)
     add("cancel", lambda a: runs.RunStore(a.run).request("CANCEL"), run_dir)
-    add("inspect", _inspect, run_dir, model_id, ("--reference", {"default": None}))
+    add("inspect", _inspect, run_dir, model_id, ("--reference-class", {"default": None, "dest": "reference"}))
     add("verify-link", _verify_link, run_dir, model_id)
-    add("compare", _compare, ("--left", need), ("--right", need), ("--output", need))
+    add("compare", _compare, ("--left", need), ("--left-model", need), ("--right", need), ("--right-model", need), ("--output", need))
     files = (model_id, ("--input", need), ("--output", need))
     add("predict", _predict, *files, ("--short", {"action": "store_true"}))
     add("transform", _transform, *files)

@@ -206,7 +206,7 @@ def _execute(spark: SparkSession, store: RunStore, say: Callable[[str], None]) -
                 return state
             aggregate_model(spark, store, model.id, classes)
             fitted, trials = final_fit(bound, contract, features, model, classes, grouped)
-            save_final_model(spark, store, model.id, fitted, trials, rows, len(contract.active()))
+            save_final_model(spark, store, model.id, fitted, trials, rows, len(contract.active()), classes)
         store.update_status(phase="reporting")
         from smoothspan.plans.report import write_report
 
@@ -316,11 +316,13 @@ def aggregate_model(spark: SparkSession, store: RunStore, model_id: str, classes
     write_parquet(store.checkpoint_tables(spark, model_id, "predictions"), out / "predictions.parquet")
 
 
-def save_final_model(spark: SparkSession, store: RunStore, model_id: str, model: AdditiveModel, trials: list[dict], rows: int, predictors: int) -> None:
+def save_final_model(spark: SparkSession, store: RunStore, model_id: str, model: AdditiveModel, trials: list[dict], rows: int, predictors: int, classes: list[str] | None = None) -> None:
     from smoothspan.operators.explain import components
 
     folder = store.root / "models" / model_id
     folder.mkdir(parents=True, exist_ok=True)
+    if classes is not None and list(model.classes) != list(classes):
+        raise SmoothspanError(f"the final model has the classes {list(model.classes)}, the training target {list(classes)}")
     if any(len(model.classes) != n for n in (len(model.intercepts), len(model.coefficients))):
         raise SmoothspanError("the final model's parameters don't go with its classes")
     model.save(folder / "model.json")
@@ -356,9 +358,19 @@ def follow_status(store: RunStore, say: Callable[[str], None] = print, every: fl
         time.sleep(every)
 
 
-def compare_runs(spark: SparkSession, left: str | Path, right: str | Path, out: str | Path) -> tuple[DataFrame, DataFrame]:
-    """Fold metrics CSV files of two models or runs, joined and summarized into comparison.csv and summary.csv."""
-    sides = [load_table(spark, p) for p in (left, right)]
+def fold_metrics_path(place: str | Path, model_id: str | None = None) -> Path:
+    """The fold metrics of a model of a run; without a model, ``place`` is a CSV file itself."""
+    found = Path(place) if model_id is None else Path(place) / "results" / model_id / "fold_metrics.csv"
+    if not found.exists():
+        raise DataValidationError(f"no fold metrics at {found}")
+    return found
+
+
+def compare_runs(
+    spark: SparkSession, left: str | Path, right: str | Path, out: str | Path, left_model: str | None = None, right_model: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Fold metrics of two models of one or two runs, joined and summarized into comparison.csv and summary.csv."""
+    sides = [load_table(spark, fold_metrics_path(p, m)) for p, m in ((left, left_model), (right, right_model))]
     for side in sides:
         lacking = {"repeat", "fold", *METRICS[:4]} - set(side.columns)
         if lacking:

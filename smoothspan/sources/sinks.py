@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import json
+import io
 import os
 import shutil
 import uuid
@@ -24,6 +26,28 @@ def write_csv(df: DataFrame, path: str | Path, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(str(path), header=True)
 
 
+def write_csv_file(df: DataFrame, path: str | Path) -> None:
+    """One CSV file with header, put together from parts that are written in parallel; the parts are streamed, never held."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    parts = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    try:
+        write_csv(df, parts / "rows")
+        whole = parts / "whole"
+        with whole.open("wb") as out:
+            csv.writer(head := io.StringIO(), lineterminator="\n").writerow(df.columns)
+            out.write(head.getvalue().encode())
+            for part in sorted((parts / "rows").glob("part-*.csv")):
+                with part.open("rb") as stream:
+                    stream.readline()  # each part has the header
+                    shutil.copyfileobj(stream, out)
+        if path.is_dir():
+            shutil.rmtree(path)
+        os.replace(whole, path)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+
+
 def write_small_csv(df: DataFrame, path: str | Path) -> None:
     """One file of a result known to be small, doubles in a form that reads back exactly."""
     path = Path(path)
