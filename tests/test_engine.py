@@ -295,3 +295,91 @@ def test_command_line(spark, tmp_path, capsys):
     pdf.head(3).to_csv(tmp_path / "s.csv", index=False)
     for command in ("predict", "transform", "contributions"):
         assert main([command, "--model", str(tmp_path / "m.json"), "--input", str(tmp_path / "s.csv"), "--output", str(tmp_path / f"{command}.csv")]) == 0
+    for command in ("predict", "transform", "contributions"):
+        found = pd.read_csv(tmp_path / f"{command}.csv")  # one file, not a folder of parts
+        assert (tmp_path / f"{command}.csv").is_file() and len(found) >= 3
+
+
+def test_one_csv_file_of_many_parts(spark, tmp_path):
+    from smoothspan.sources.sinks import write_csv_file
+
+    df = spark.range(1000).repartition(7).selectExpr("id", "concat('a,\"', id) AS `b,c`")
+    for _ in range(2):  # replaces a file and a folder alike
+        write_csv_file(df, tmp_path / "out.csv")
+    found = pd.read_csv(tmp_path / "out.csv", escapechar="\\")
+    assert sorted(found["id"]) == list(range(1000)) and list(found.columns) == ["id", "b,c"]
+    write_csv_file(df.limit(0), tmp_path / "none.csv")
+    assert len(pd.read_csv(tmp_path / "none.csv")) == 0 and not list(tmp_path.glob(".*"))
+
+
+def test_demo_rows_depend_on_the_seed_only(spark):
+    from smoothspan.sources.tables import demo_table
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    one = rows(demo_table(spark, 500, 3))
+    assert rows(demo_table(spark, 500, 3).repartition(3)) == one and rows(demo_table(spark, 500, 4)) != one
+    pdf = demo_table(spark, 4000, 1).toPandas()
+    assert abs(pdf["X1"].mean()) < 0.08 and abs(pdf["X4"].std() - 1) < 0.06 and pdf["X2"].between(-2, 2).all()
+    assert set(pdf["X3"]) == {"low", "standard", "high"} and set(pdf["Y"]) == set("ABCD")
+
+
+def test_row_numbers_behind_an_exchange(spark):
+    from smoothspan.sources.tables import with_row_index
+
+    df = spark.range(300).repartition(5).groupBy("id").count()
+    numbered = with_row_index(df)
+    assert sorted(r["row_index"] for r in numbered.collect()) == list(range(300))
+    assert "Python" not in numbered._jdf.queryExecution().executedPlan().toString()
+    ordered = with_row_index(spark.range(50).selectExpr("50 - id AS k"), order_by=["k"])
+    assert [r["k"] for r in ordered.orderBy("row_index").collect()] == list(range(1, 51))
+
+
+def test_unknown_categories_are_named(spark):
+    from smoothspan.operators.design import Design
+
+    design = Design({"w": Feature("categorical", categories=("a", "b"))}, 3, 2, [], 1.0)
+    with pytest.raises(DataValidationError, match=r"3: 'x', 'y'\)"):
+        design.check(spark.createDataFrame([("a",), ("y",), ("x",), ("y",), (None,)], "w string"))
+
+
+def test_inner_folds_are_those_of_the_cluster(spark):
+    from smoothspan.operators.folds import assign_folds
+
+    pdf = pd.DataFrame({"y": list("abcab" * 11), "row_id": [f"r{i * 7 % 55}" for i in range(55)]})
+    want = {r["row_id"]: r["fold"] - 1 for r in assign_folds(spark.createDataFrame(pdf), "y", "row_id", 4, 1, 99).collect()}
+    got = search.inner_folds(pdf["y"].to_numpy(dtype=object), pdf["row_id"].to_numpy(dtype=object), 4, 99)
+    assert dict(zip(pdf["row_id"], got.tolist())) == want
+
+
+def test_backends_agree_on_several_candidates(spark):
+    c = contract("none", models=(Model("main"),), search=Search((3, 4), (2,), (0.1, 1.0), (1.0,)))
+    raw = spark.createDataFrame(frame(90))
+    bound = bind(raw, c).persist()
+    features = resolve_categories(raw, c)
+    small, few = search.final_fit(bound, c, features, c.models[0], ["A", "B", "C"], True)
+    large, many = search.final_fit(bound, c, features, c.models[0], ["A", "B", "C"], False)
+    assert len(few) == len(many) == 4
+    assert np.allclose([t["mean_log_loss"] for t in few], [t["mean_log_loss"] for t in many], atol=1e-4)
+    assert search.first_best(few)["ordinal"] == search.first_best(many)["ordinal"]
+    assert np.allclose(small.coefficients, large.coefficients, atol=1e-3)
+
+
+def test_final_model_needs_the_classes_of_the_target(spark, tmp_path):
+    model, _ = fitted(spark)
+    with pytest.raises(SmoothspanError, match="classes"):
+        runs.save_final_model(spark, runs.RunStore(tmp_path), "main", model, [{"ordinal": 0, "mean_log_loss": 1.0}], 3, 2, ["Q", *model.classes[1:]])
+    with pytest.raises(DataValidationError):
+        runs.fold_metrics_path(tmp_path, "main")
+
+
+def test_digest_of_a_folder(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"part-{k}.csv").write_text(f"a\n{k}\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    by_executors = tables.sha256_file(tmp_path)
+    monkeypatch.setattr(tables.SparkSession, "getActiveSession", staticmethod(lambda: None))
+    assert tables.sha256_file(tmp_path) == by_executors
+    (tmp_path / "part-1.csv").write_text("b\n")
+    assert tables.sha256_file(tmp_path) != by_executors
