@@ -13,7 +13,8 @@ agree with those of the uncut text; ``verify_joins`` compares them and is what t
 The exchange of chunks between machines is left out on purpose: it would shuffle each text and its ids once more, which is
 more than encoding costs. Reuse is within a task, and memory is bounded by the batch and the cache.
 
-Defined results: a null text counts as empty and has no ids; special-token strings are encoded as the tokenizer encodes them;
+Defined results: a null text counts as empty and has no ids; very long texts are encoded whole; ties between merges are those of
+the file's ranks; special-token strings are encoded as the tokenizer encodes them;
 columns other than the id and text columns are ignored; repeated rows give repeated results; an empty table an empty one.
 """
 

@@ -8,11 +8,15 @@ sequence, and so matches equal ones; without, such lines are never matched.
 The join: the tokens (shingles) of a line are ordered by rarity: those seen once in all documents before those seen more often,
 ties by hash, so every order is the same everywhere and the join is exact. A line is indexed under its prefix, the
 n - ceil(t * n) + 1 rarest of its n tokens; matching lines share a prefix token, and a token that was seen once is shared by no
-line, so it is not indexed; nor is the token of a line that has only one, whose matches are all of its class. How often a token was seen comes from two bit tables of fixed size over all tokens of all
-documents: tokens that meet in a table count as seen more often, which costs time and no result. With more tokens than bits
-the tables stop to prune, and all prefixes are shuffled. Pairs must pass the length filter, the positional filter (tokens left
-after the shared one on both sides) and a 64-bit sketch of the sets that bounds their difference, all of which only drop pairs
-that cannot match; the rest is verified on full sets.
+line, so it is not indexed; nor is the token of a line that has only one, whose matches are all of its class. Lines whose whole
+prefix was seen once match nothing and leave the join at once.
+
+How often a token was seen is counted by slices of the tokens: every task sends the first bits of its tokens as sorted,
+compressed runs (about two bytes a token), a slice is counted by one task, and slices and bits grow with the text. The tokens
+seen more often fill a filter of fixed size that every task holds; what it holds wrongly costs time and no result. Beyond some
+10^8 distinct shared tokens the filter lets most tokens pass, and all prefixes are shuffled. Pairs must pass the length filter,
+the positional filter (tokens left after the shared one on both sides) and a 64-bit sketch of the sets that bounds their
+difference, all of which only drop pairs that cannot match; the rest is verified on full sets.
 
 Equal sets are one class, and only first occurrences are joined. Short lists of a token are joined with themselves. In long
 ones each class is compared with the first class of the list; as only the existence of an earlier match matters, classes
@@ -23,7 +27,8 @@ Tokens are compared by 64-bit hashes and classes by 128-bit hashes of their toke
 
 Defined results: null texts stay null and empty ones empty; lines are split at ``\\n`` only; a document whose lines all go
 keeps an empty text; rows that share an id are one document, of which lines with one number are one line and go or stay
-together; rows with a null id come first in the order and are one document too. Other columns are kept.
+together; rows with a null id come first in the order and are one document too; very long lines and texts are compared whole;
+of equal lines the first one in the order stays; an empty table gives an empty one. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -465,3 +470,30 @@ def line_report(docs: DataFrame, settings: LineSettings = LineSettings(), id_col
     """(id, n_lines, n_removed, text): every document with its lines counted and the text that is left."""
     found = _without(docs.select(id_col, text_col), settings, id_col, text_col)
     return found.select(F.col("row").getField(id_col).alias(id_col), "n_lines", "n_removed", F.col("kept_text").alias(text_col))
+
+
+#: op3 in SQL: a line goes if an earlier one has enough of the same shingles, or the same few words.
+ORACLE_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, k - 1 AS line, l[k] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM parts)),
+words AS (
+  SELECT doc_id, line, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM lines
+), tokens AS (
+  SELECT DISTINCT doc_id, line, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
+  FROM words
+), sizes AS (SELECT doc_id, line, count(*) AS n FROM tokens GROUP BY 1, 2),
+pairs AS (
+  SELECT a.doc_id AS d, a.line AS k, b.doc_id AS doc_id, b.line AS line, count(*) AS shared
+  FROM tokens a JOIN tokens b ON a.s = b.s AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.line < b.line)) GROUP BY 1, 2, 3, 4
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.line
+  FROM pairs p JOIN sizes x ON x.doc_id = p.d AND x.line = p.k JOIN sizes y ON y.doc_id = p.doc_id AND y.line = p.line
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(l.t, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, k.text FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

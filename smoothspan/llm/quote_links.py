@@ -13,7 +13,7 @@ partition, so a conversation that holds a third of all rows is spread over tasks
 
 Defined results: a null or empty text has no passages; messages without conversation or turn are not linked, are their own
 roots and come first in the order; rows that share conversation and turn are parts of one message: they share links and
-parent, and follow each other ordered by role and text; passages quoted from nowhere are kept as unlinked; an empty table
+parent, and follow each other ordered by role and text; passages quoted from nowhere are kept as unlinked; very long messages are read whole; an empty table
 gives an empty result. Extra columns are ignored.
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smoothspan.llm import containment, quote_links, temporal_lists
+from smoothspan.llm import containment, line_join, quote_links, super_minhash, temporal_lists
 from smoothspan.llm.chunk_bpe import digest_documents
 from smoothspan.llm.containment import contained_items
 from smoothspan.llm.feistel_pii import pseudonymise
@@ -114,6 +114,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quote_links": quote_links.ORACLE_SQL,
+        "op3_line_join": line_join.ORACLE_SQL,
         "op4_temporal_lists": temporal_lists.ORACLE_SQL,
         "op5_containment": containment.ORACLE_SQL,
+        "op8_super_minhash": super_minhash.ORACLE_SQL,
     }

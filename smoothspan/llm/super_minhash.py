@@ -19,7 +19,8 @@ Shingles are compared by 50-bit hashes: two different shingles of one pair of do
 n*n / 2**50.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; rows that share an id are
-one node (linked by it); rows with a null id are linked with nothing and kept. Extra columns are ignored.
+one node (linked by it); rows with a null id are linked with nothing and kept; very long texts are signed and compared whole, in
+parts of bounded size; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -284,3 +285,26 @@ def keep_one_of_each(docs: DataFrame, settings: MinHashSettings = MinHashSetting
     groups = near_duplicates(docs, settings, id_col, text_col).where("node <> component_id").select(F.col("node").alias("node_")).distinct()
     gone = small_side(cut(groups, "minhash-gone"), settings.broadcast_rows)
     return docs.join(gone, docs[id_col] == gone["node_"], "left_anti")
+
+
+#: The contract of op8 in SQL: exact sets and links, smallest reachable id.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
+  FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN edges e ON r.node = e.a WHERE r.root < e.b
+), least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.root AS component_id, d.doc_id = l.root AS kept
+FROM documents d JOIN least l ON l.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""

@@ -284,3 +284,112 @@ def test_long_words_are_walked():
         assert scorer._edits("x" * n + "/moronic/" + "y" * n) == 0 and scorer._edits("x" * n + "-moronik") == 1 and scorer._edits("z" * n) == -1
     found = scorer.features(pa.array(["a " + "z" * 300 + "_moronic b", "nothing " + "z" * 300]))
     assert found[:, 2].tolist() == [1.0, 0.0]
+
+
+# The queries against plain versions.
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _fold_of(i, buckets):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % buckets
+
+
+def test_toxicity_query_against_brute_force(spark, sf_dir):
+    """Every score from edit distances and plain loops over whole texts, with the lexicon and weights that were learned."""
+    import math
+    import re
+
+    from smoothspan.llm.lexicon_automaton import readings
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = [r["doc_id"] for r in labels.collect() if _fold_of(r["doc_id"], 5) != 0]
+    model = fit_toxicity(docs, labels.where(F.col("doc_id").isin(learn)))
+    found = {r["doc_id"]: r for r in registry.op9_lexicon_toxicity(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    edits = {}
+
+    def fewest(word):
+        if word not in edits:
+            best = 99
+            for x in readings(word):
+                if any(x.startswith(s) for s in model.stems):
+                    best = 0
+                for t in model.terms:
+                    if abs(len(t) - len(x)) <= edits_allowed(t):
+                        d = _distance(t, x)
+                        best = min(best, d if d <= edits_allowed(t) else 99)
+            edits[word] = best
+        return edits[word]
+
+    for r in rows[:120]:
+        data, counts, n = (r["text"] or "").encode(), [0, 0, 0], 0
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+            n += 1
+            e = fewest(m.group().decode().lower())
+            if e < 99:
+                at = m.start() + len(re.match(r"[^\w\s]*", data[m.start() : m.start() + 64].decode("utf-8", "ignore")).group().encode())
+                quoted = is_quoted(data[max(0, at - 160) : at].decode("utf-8", "replace"), data[at : at + 160].decode("utf-8", "replace"))
+                counts[2 if quoted else 0 if e == 0 else 1] += 1
+        x = [1, math.log1p(counts[0]), counts[0] > 0, math.log1p(counts[1]), counts[1] > 0, math.log1p(counts[2]), 100 * counts[0] / max(n, 20), math.log1p(n) / 10]
+        got = found[r["doc_id"]]
+        assert (got["abusive"], got["misspelled"], got["quoted"]) == tuple(counts)
+        assert got["score"] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), abs=1e-6)
+        assert got["predicted"] == (got["score"] >= 0.5) and got["held_out"] == (_fold_of(r["doc_id"], 5) == 0)
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    """Dictionaries and predictions from plain loops over whole texts."""
+    import xxhash
+
+    from smoothspan.llm.zstd_language import ZstdClassifier, ZstdSettings, letters_only
+
+    s = ZstdSettings()
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def order(r):
+        h = xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    held = {}
+    for r in sorted(rows, key=order):
+        if r["lang"] is not None and _fold_of(r["doc_id"], 4) != 2 and len(held.setdefault(r["lang"], [])) < s.sample_rows:
+            held[r["lang"]].append(r)
+    content = {k: b" ".join(letters_only(r["text"]) for r in sorted(v, key=lambda r: r["doc_id"]) if r["text"] is not None) for k, v in sorted(held.items())}
+    plain = ZstdClassifier(content, s)
+    found = {r["doc_id"]: r for r in registry.op6_zstd_language(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        lang, score, _, _ = plain.predict(r["text"])
+        got = found[r["doc_id"]]
+        assert (got["lang_pred"], got["held_out"]) == (lang, _fold_of(r["doc_id"], 4) == 2) and got["score"] == pytest.approx(score)
+
+
+def test_pseudonyms_query_against_brute_force(spark, sf_dir):
+    """Every text of the query by the plain function, back by its inverse, and equal values with one pseudonym everywhere."""
+    from smoothspan.llm.feistel_pii import _read
+
+    found = registry.op2_feistel_pseudonyms(spark, sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    back = {r["doc_id"]: r["text"] for r in reveal(found, registry.DEMO_KEY).collect()}
+    assert back == texts
+    one, links, total = Pseudonymiser(registry.DEMO_KEY), {}, 0
+    for r in found.collect():
+        new, n = pseudonymise_text(texts[r["doc_id"]], one)
+        assert (r["text"], r["n_replaced"]) == (new, n)
+        total += n
+        spans, values, touched = _read(texts[r["doc_id"]], one)
+        for (a, b, kind), value in zip(spans, values) if not touched else ():
+            assert links.setdefault((kind, texts[r["doc_id"]][a:b]), value) == value and value in new
+    assert total > 5 and len(set(links.values())) == len(links)
