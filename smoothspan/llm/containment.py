@@ -107,7 +107,8 @@ def contained_items(
     texts = docs.join(few, docs["doc"].eqNullSafe(few["doc_"]), "left_semi")
     full = shingle_hashes(texts, "text", "all", settings.shingle).select("doc", F.array_distinct("all").alias("all"))
     wanted = pairs.select(F.col("doc").alias("d"), F.col("item").alias("i"))
-    sets = _limited(sets, settings.broadcast_rows // 10)
+    if (sets.agg(F.sum(F.size("set"))).first()[0] or 0) <= 8 * settings.broadcast_rows:  # hashes, of which items have any number
+        sets = F.broadcast(sets)
     both = full.join(wanted, full["doc"].eqNullSafe(wanted["d"])).join(sets, F.col("i").eqNullSafe(sets["item"]))
     both = both.select("doc", "item", F.size("set").alias("n_item"), F.size(F.array_intersect("all", "set")).alias("n_shared"))
     found = both.where(F.col("n_shared") * 100 >= settings.percent * F.col("n_item"))
