@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from smoothspan.contract import Contract, Feature
 from smoothspan.errors import ConfigurationError, DataValidationError
 from smoothspan.functions.arrays import not_finite, number, spline_basis, tensor
+from smoothspan.operators.profile import exact_medians
 
 
 @dataclass
@@ -93,17 +94,18 @@ class Design:
         return self._raw(name) if fill is None else F.coalesce(self._raw(name), F.lit(fill))
 
     def fit(self, df: DataFrame) -> Design:
-        """Learn fills, then ranges, means and deviations of the filled columns: two aggregations."""
+        """Learn fills, then ranges, means and deviations of the filled columns."""
         self.check(df)
         self.stats = {name: {"fill": None} for name in self.predictors}
         medians = [n for n in self.predictors if self.features[n].missing == "median"]
         modes = [n for n in self.predictors if self.features[n].missing == "most_frequent"]
-        if medians or modes:
-            row = df.agg(*[F.median(self._raw(n)).alias(n) for n in medians], *[F.mode(self._raw(n), True).alias(n) for n in modes]).first()
-            for n in [*medians, *modes]:
-                if row[n] is None:
-                    raise DataValidationError(f"{n}: no value to learn a fill from")
-                self.stats[n]["fill"] = row[n]
+        fills = exact_medians(df, {n: self._raw(n) for n in medians}) if medians else {}
+        if modes:  # of declared categories, which are few
+            fills |= df.agg(*[F.mode(self._raw(n), True).alias(n) for n in modes]).first().asDict()
+        for n, fill in fills.items():
+            if fill is None:
+                raise DataValidationError(f"{n}: no value to learn a fill from")
+            self.stats[n]["fill"] = fill
         aggregates = [F.count(F.lit(1)).alias("rows_")]
         for i, n in enumerate(self.of("smooth")):
             aggregates += [F.min(self._filled(n)).alias(f"lo{i}"), F.max(self._filled(n)).alias(f"hi{i}")]

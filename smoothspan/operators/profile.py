@@ -1,13 +1,15 @@
-"""Profiles and role recommendations: one pass for all columns, one for the value counts."""
+"""Profiles and role recommendations from counted values."""
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from smoothspan.sources.tables import written
+
 CATEGORICAL_MOST = 10
 ID_RATIO = 0.98
 
@@ -32,52 +34,73 @@ def infer_role(kind: T.DataType, rows: int, distinct: int) -> tuple[str, str]:
     return "smooth", "continuous number"
 
 
+def exact_medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
+    """The median of each value (the mean of the middle two), None without any.
+
+    Equal values are counted first. The counts are dealt to ranges of (column, value); the sums of the ranges, one for each
+    range and column, tell in which of them the middle lies, and only these are added up value by value."""
+    names = list(values)
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), v.cast("double").alias("v")) for i, v in enumerate(values.values())])
+    counted = df.select(F.explode(pairs).alias("s")).select("s.*").where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
+    ranges = written(counted.repartitionByRange("k", "v")).withColumn("part", F.spark_partition_id())
+    total, sums = dict.fromkeys(range(len(names)), 0), []
+    for r in sorted(ranges.groupBy("part", "k").agg(F.sum("n").alias("n")).collect()):
+        sums.append((r["part"], r["k"], total[r["k"]], r["n"]))
+        total[r["k"]] += r["n"]
+    middle = {k: ((n - 1) // 2, n // 2) for k, n in total.items() if n}
+    wanted = [(p, k, at, *middle[k]) for p, k, at, n in sums if any(at <= m < at + n for m in middle[k])]
+    found: dict[int, list[float]] = {}
+    if wanted:
+        of = F.broadcast(df.sparkSession.createDataFrame(wanted, "part int, k int, start long, low long, high long"))
+        until = Window.partitionBy("part", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        walked = ranges.join(of, ["part", "k"]).withColumn("until", F.col("start") + F.sum("n").over(until))
+        hit = lambda m: (F.col(m) < F.col("until")) & (F.col(m) >= F.col("until") - F.col("n"))
+        for r in walked.where(hit("low") | hit("high")).select("k", "v").collect():  # two for each column at most
+            found.setdefault(r["k"], []).append(r["v"])
+    return {name: sum(found[i]) / len(found[i]) if i in found else None for i, name in enumerate(names)}
+
+
 def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, dtype, n_rows, missing, n_unique, minimum, median, maximum, recommended_role), from one aggregation."""
+    """(column, dtype, n_rows, missing, n_unique, minimum, median, maximum, recommended_role), from counted values: equal values
+    of a column meet before anything is shuffled."""
     columns = columns or df.columns
     fields = {f.name: f.dataType for f in df.schema.fields}
-    aggregates = [F.count(F.lit(1)).alias("rows_")]
-    for i, c in enumerate(columns):
+    numeric = [c for c in columns if is_numeric(fields[c])]
+    medians = exact_medians(df, {c: F.col(f"`{c}`") for c in numeric}) if numeric else {}
+    cells = []
+    for c in columns:
         value = F.col(f"`{c}`")
-        aggregates += [(F.count(F.lit(1)) - F.count(value)).alias(f"m{i}"), F.count_distinct(value).alias(f"u{i}")]
-        if is_numeric(fields[c]):
-            aggregates += [F.min(value).cast("double").alias(f"lo{i}"), F.median(value).cast("double").alias(f"md{i}"), F.max(value).cast("double").alias(f"hi{i}")]
-    wide = df.agg(*aggregates)
-    structs = []
-    for i, c in enumerate(columns):
-        numeric = is_numeric(fields[c])
-        ratio, unique = F.col(f"u{i}") / F.greatest(F.col("rows_"), F.lit(1)), F.col(f"u{i}")
-        role = F.when(unique <= 1, "exclude")
-        if isinstance(fields[c], T.BooleanType):
-            role = role.otherwise("categorical")
-        elif not numeric:
-            role = role.when(ratio > ID_RATIO, "exclude").otherwise("categorical")
-        else:
-            role = role.when(unique <= CATEGORICAL_MOST, "categorical")
-            if isinstance(fields[c], T.IntegralType):
-                role = role.when(ratio > ID_RATIO, "exclude")
-            role = role.otherwise("smooth")
-        none = F.lit(None).cast("double")
-        structs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(fields[c].simpleString()).alias("dtype"),
-                F.col("rows_").alias("n_rows"),
-                F.col(f"m{i}").alias("missing"),
-                unique.alias("n_unique"),
-                (F.col(f"lo{i}") if numeric else none).alias("minimum"),
-                (F.col(f"md{i}") if numeric else none).alias("median"),
-                (F.col(f"hi{i}") if numeric else none).alias("maximum"),
-                role.alias("recommended_role"),
-            )
-        )
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+        if isinstance(fields[c], T.FractionalType) and not isinstance(fields[c], T.DecimalType):
+            value = value + F.lit(0.0)  # so that 0 and -0 are one value
+        cells.append(F.struct(F.lit(c).alias("column"), value.cast("string").alias("key"), (value.cast("double") if c in numeric else F.lit(None).cast("double")).alias("x")))
+    counted = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").groupBy("column", "key").agg(F.count("*").alias("n"), F.max("x").alias("x"))
+    found = counted.groupBy("column").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.count("key").alias("n_unique"),
+        F.min("x").alias("minimum"),
+        F.max("x").alias("maximum"),
+    )
+    known = [
+        (c, fields[c].simpleString(), medians.get(c), c in numeric, isinstance(fields[c], T.IntegralType), isinstance(fields[c], T.BooleanType)) for c in columns
+    ]
+    of = df.sparkSession.createDataFrame(known, "column string, dtype string, median double, numeric boolean, integral boolean, boolean boolean")
+    unique = F.col("n_unique")
+    ratio = unique / F.greatest(F.col("n_rows"), F.lit(1))
+    role = (
+        F.when(unique <= 1, "exclude")
+        .when(F.col("boolean"), "categorical")
+        .when(~F.col("numeric"), F.when(ratio > ID_RATIO, "exclude").otherwise("categorical"))
+        .when(unique <= CATEGORICAL_MOST, "categorical")
+        .when(F.col("integral") & (ratio > ID_RATIO), "exclude")
+        .otherwise("smooth")
+    )
+    whole = F.broadcast(of).join(found, "column", "left").fillna(0, ["n_rows", "missing", "n_unique"])
+    return whole.select("column", "dtype", "n_rows", "missing", "n_unique", "minimum", "median", "maximum", role.alias("recommended_role"))
 
 
 def top_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     """(column, value, n, rank) of the most frequent values, null included; ties by value."""
-    from pyspark.sql import Window
-
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("s"))
     counted = long.groupBy("s.column", "s.value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.col("value").asc_nulls_first())
@@ -91,8 +114,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """(class, n, percent) of the target, null included; percent has two decimals."""
-    from pyspark.sql import Window
-
     counted = df.groupBy(F.col(f"`{target}`").cast("string").alias("class")).agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return counted.withColumn("percent", F.round(F.col("n") / whole * 100, 2))

@@ -50,6 +50,14 @@ def check_columns(df: DataFrame, wanted: list[str]) -> None:
         raise DataValidationError(f"repeated columns: {', '.join(repeated)}")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from the checkpoint folder: every later pass sees the same rows in the same partitions."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # as in tests; a cluster names a shared folder in spark.checkpoint.dir
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rows-"))
+    return df.checkpoint()
+
+
 def with_row_index(df: DataFrame, name: str = "row_index", order_by: list[str] | None = None) -> DataFrame:
     """Consecutive numbers from 0, in the order given or else in file order, without a single-task sort.
 
@@ -60,10 +68,7 @@ def with_row_index(df: DataFrame, name: str = "row_index", order_by: list[str] |
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        context = df.sparkSession.sparkContext
-        if context.getCheckpointDir() is None:  # as in tests; a cluster names a shared folder in spark.checkpoint.dir
-            context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rows-"))
-        df = df.checkpoint()
+        df = written(df)
     placed = df.withColumn("placed_", F.monotonically_increasing_id())
     part = F.shiftright("placed_", 33).cast("int")
     counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())

@@ -383,3 +383,16 @@ def test_digest_of_a_folder(spark, tmp_path, monkeypatch):
     assert tables.sha256_file(tmp_path) == by_executors
     (tmp_path / "part-1.csv").write_text("b\n")
     assert tables.sha256_file(tmp_path) != by_executors
+
+
+def test_medians_are_exact(spark):
+    r = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": r.integers(0, 9, 1001).astype(float), "b": r.normal(size=1001), "c": np.nan, "d": 3.0})
+    pdf.loc[::3, "a"] = np.nan
+    rows = [tuple(None if pd.isna(v) else float(v) for v in row) for row in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(6)
+    got = profile.exact_medians(df, {c: F.col(c) for c in pdf})
+    assert got["c"] is None and got["d"] == 3.0
+    assert got["a"] == pdf["a"].median() and got["b"] == pytest.approx(pdf["b"].median(), abs=0)
+    assert profile.exact_medians(df.limit(0), {"a": F.col("a")}) == {"a": None}
+    assert profile.exact_medians(df.limit(1).select(F.lit(2).alias("x")), {"x": F.col("x")}) == {"x": 2.0}
