@@ -41,3 +41,19 @@ def test_stages_keep_columns(spark, odd, sf_dir, k):
     assert out.columns == docs.columns and out.count() <= docs.count()
     none = corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf_dir)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_with_clashing_columns(spark, odd, empty, sf_dir, k):
+    """Nulls, empty and long texts, ties and repeated rows, with extra columns named like inner ones."""
+    docs = odd.selectExpr("*", "lang AS source", "cast(length(text) AS long) AS n_chars")
+    out = corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
+    rows = out.collect()
+    nulls = [r for r in rows if r["doc_id"] is None]
+    if k == 4:
+        assert len(rows) == docs.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (4, 5)} == {0}
+    else:
+        assert out.columns == docs.columns and {4, 5, 7} <= {r["doc_id"] for r in rows} and len(nulls) == 2
+        assert len([r for r in rows if r["doc_id"] == 8]) == 2 and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    none = empty.selectExpr("*", "lang AS source", "cast(length(text) AS long) AS n_chars", "node AS low", "node AS doc")
+    assert corpus_pipeline.STAGES[k][1](spark, none, sf_dir).count() == 0
