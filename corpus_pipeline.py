@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, line dedup, near-duplicate documents, benchmark decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and reads it
-again as the next stage's input. All stages but the last return the columns of ``documents``.
+again as the next stage's input. All stages but the last return the columns of ``documents``, and any extra ones.
+
+Defined results of every stage: rows with a null id or a null or empty text are kept (the encoding has no ids for them); rows that
+share an id are judged as one document by line dedup, near dedup and decontamination and row by row by toxicity; repeated rows
+with one id stay repeated; of equal documents and lines the one with the smallest id (null first among lines) stays; very long
+texts are read whole; an empty table gives an empty one; columns whose names clash with inner ones are kept.
 """
 
 from __future__ import annotations
