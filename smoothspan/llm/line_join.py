@@ -5,16 +5,17 @@ the Jaccard similarity of their sets is at least ``percent`` / 100. A line is re
 (document id, line number), matches it. With ``short_lines`` a line of fewer than ``shingle`` words has one token, its whole word
 sequence, and so matches equal ones; without, such lines are never matched.
 
-The join: the tokens (shingles) of a line are ordered by rarity: those seen once in all documents before those seen more often,
-ties by hash, so every order is the same everywhere and the join is exact. A line is indexed under its prefix, the
+The join: the tokens (shingles) of a line are ordered by rarity: by classes of their count in all documents (once, less than 8
+times, less than 32, and so on by powers of four), ties by hash, so the order is the same everywhere and the join is exact. A line is indexed under its prefix, the
 n - ceil(t * n) + 1 rarest of its n tokens; matching lines share a prefix token, and a token that was seen once is shared by no
 line, so it is not indexed; nor is the token of a line that has only one, whose matches are all of its class. Lines whose whole
 prefix was seen once match nothing and leave the join at once.
 
 How often a token was seen is counted by slices of the tokens: every task sends the first bits of its tokens as sorted,
-compressed runs (about two bytes a token), a slice is counted by one task, and slices and bits grow with the text. The tokens
-seen more often fill a filter of fixed size that every task holds; what it holds wrongly costs time and no result. Beyond some
-10^8 distinct shared tokens the filter lets most tokens pass, and all prefixes are shuffled. Pairs must pass the length filter,
+compressed runs with their counts (about two bytes a token), a slice is counted by one task, and slices and bits grow with the
+text. The tokens of each class and of the more common ones fill a filter of fixed size that every task holds, a quarter of the
+size from class to class; what a filter holds wrongly makes a token seem more common to every task alike, which costs time and
+no result. Beyond some 10^8 distinct shared tokens the first filter lets most tokens pass, and all prefixes are shuffled. Pairs must pass the length filter,
 the positional filter (tokens left after the shared one on both sides) and a 64-bit sketch of the sets that bounds their
 difference, all of which only drop pairs that cannot match; the rest is verified on full sets.
 
@@ -52,7 +53,8 @@ from smoothspan.llm.workers import returning_memory
 class LineSettings:
     """``short_lines``: whether lines of fewer than ``shingle`` words take part, by their whole word sequence.
     ``short_list``: lists up to this length are joined with themselves, longer ones in two passes (the result is the same).
-    ``filter_bits``: bits of the filter of shared tokens that every task holds. ``slice_bytes``: bytes of text for each slice of
+    ``filter_bits``: the filter of shared tokens that every task holds has two to this power bits; those of more common tokens
+    have a third of that together. ``slice_bytes``: bytes of text for each slice of
     the tokens that one task counts. ``run_tokens``: tokens that a scanning task sorts at once.
     ``broadcast_rows``: most rows that are broadcast; larger tables are joined by a shuffle."""
 
@@ -143,43 +145,53 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class SharedTokens:
-    """A filter that holds all tokens that were seen more than once, and few others. Every slice of the tokens (by their first
-    bits) has its own part of the table."""
+class TokenClasses:
+    """Filters of the tokens by how often they were seen: filter k holds all tokens seen 2 * 4**k times or more, and few others.
+    Every slice of the tokens (by their first bits) has its own part of each filter."""
 
-    table: np.ndarray
+    filters: list[np.ndarray]
     slot_bits: int
     slice_bits: int
 
-    def part_bits(self) -> int:
-        return len(self.table).bit_length() + 2 - self.slice_bits
+    @staticmethod
+    def part_bits(settings: LineSettings, slice_bits: int) -> list[int]:
+        """Bits of a slice's part of each filter: a quarter of the tokens at most are seen four times as often."""
+        return list(range(settings.filter_bits - slice_bits, 2, -2))
 
     @staticmethod
     def places(slot: np.ndarray, part_bits: int) -> tuple[np.ndarray, np.ndarray]:
         spread, most = mix(slot), np.uint64((1 << part_bits) - 1)
         return spread & most, (spread >> np.uint64(32)) & most
 
-    def may_hold(self, token: np.ndarray) -> np.ndarray:
-        slot = token >> np.uint64(64 - self.slot_bits)
-        bits = self.part_bits()
-        base = (token >> np.uint64(64 - self.slice_bits)) << np.uint64(bits)
-        found = np.ones(len(token), bool)
-        for place in self.places(slot, bits):
-            place = base | place
-            found &= (self.table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+    def of(self, token: np.ndarray) -> np.ndarray:
+        """The class of each token: 0 if it was seen once, more for more common ones."""
+        found = np.zeros(len(token), np.int8)
+        left = np.arange(len(token))
+        for table in self.filters:
+            slot = token[left] >> np.uint64(64 - self.slot_bits)
+            bits = len(table).bit_length() + 2 - self.slice_bits
+            base = (token[left] >> np.uint64(64 - self.slice_bits)) << np.uint64(bits)
+            held = np.ones(len(left), bool)
+            for place in self.places(slot, bits):
+                place = base | place
+                held &= (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+            left = left[held]
+            if not len(left):
+                break
+            found[left] += 1
         return found
 
 
-def seen_twice(docs: DataFrame, settings: LineSettings) -> SharedTokens:
-    """The filter of the tokens that occur more than once in all documents.
+def count_classes(docs: DataFrame, settings: LineSettings) -> TokenClasses:
+    """The classes of the tokens by their number of occurrences in all documents.
 
-    A task sends the first bits of its tokens as sorted runs, cut into slices; a slice is counted by one task, which returns its
-    part of the filter. Bits and slices grow with the text, so that tokens rarely meet and a slice stays of one size; the
-    filter itself has a fixed size."""
+    A task sends the first bits of its tokens as sorted runs with counts, cut into slices; a slice is counted by one task, which
+    returns its part of the filters. Bits and slices grow with the text, so that tokens rarely meet and a slice stays of one
+    size; the filters themselves have a fixed size."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slice_bits = min(settings.filter_bits - 10, max(5, (total // settings.slice_bytes).bit_length()))
     slot_bits = min(48, max(30, total.bit_length() + 4))
-    part_bits = settings.filter_bits - slice_bits
+    part_bits = TokenClasses.part_bits(settings, slice_bits)
 
     @returning_memory
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,19 +199,22 @@ def seen_twice(docs: DataFrame, settings: LineSettings) -> SharedTokens:
 
         def run(held: list[np.ndarray]) -> pa.RecordBatch:
             slots = np.sort(np.concatenate(held))
-            new = np.append(True, slots[1:] != slots[:-1])
-            twice = np.unique(slots[~new])
-            slots = slots[new]
-            cuts, again = (np.append(np.searchsorted(x, heads), len(x)) for x in (slots, twice))
+            at = _starts(slots)
+            more = np.diff(np.append(at, len(slots))) - 1
+            slots = slots[at]
+            again, more = slots[more > 0], more[more > 0].astype("<u4")
+            cuts, ends = (np.append(np.searchsorted(x, heads), len(x)) for x in (slots, again))
             rows = [k for k in range(len(heads)) if cuts[k] < cuts[k + 1]]
             one = np.uint64(1)  # so that no run is the number 0 alone
+            pack = zstandard.ZstdCompressor(1).compress
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, pa.int32()),
                     pa.array([_pack(slots[cuts[k] : cuts[k + 1]] - heads[k] + one) for k in rows], pa.binary()),
-                    pa.array([_pack(twice[again[k] : again[k + 1]] - heads[k] + one) for k in rows], pa.binary()),
+                    pa.array([_pack(again[ends[k] : ends[k + 1]] - heads[k] + one) for k in rows], pa.binary()),
+                    pa.array([pack(more[ends[k] : ends[k + 1]].tobytes()) for k in rows], pa.binary()),
                 ],
-                names=["slice", "once", "twice"],
+                names=["slice", "seen", "again", "more"],
             )
 
         held: list[np.ndarray] = []
@@ -215,31 +230,38 @@ def seen_twice(docs: DataFrame, settings: LineSettings) -> SharedTokens:
             yield run(held)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = [], []
+        seen, again, more = [], [], []
         for batch in batches:
-            once += [_unpack(x.as_py()) for x in batch.column(1)]
-            twice += [_unpack(x.as_py()) for x in batch.column(2)]
-        all_once = np.sort(np.concatenate(once))
-        slots = np.concatenate([all_once[1:][all_once[1:] == all_once[:-1]], *twice])
+            seen += [_unpack(x.as_py()) for x in batch.column(1)]
+            again += [_unpack(x.as_py()) for x in batch.column(2)]
+            more += [np.frombuffer(zstandard.decompress(x.as_py()), "<u4") for x in batch.column(3)]
+        slots = np.sort(np.concatenate(seen))
+        at = _starts(slots)
+        count = np.diff(np.append(at, len(slots)))
+        slots = slots[at]
+        np.add.at(count, np.searchsorted(slots, np.concatenate(again)), np.concatenate(more).astype(np.int64))
         head = np.uint64(key[0].as_py()) << np.uint64(slot_bits - slice_bits)
-        bits = np.zeros(1 << part_bits, bool)
-        for place in SharedTokens.places(slots + head - np.uint64(1), part_bits):
-            bits[place.astype(np.int64)] = True
-        packed = zstandard.ZstdCompressor(1).compress(np.packbits(bits, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed])], names=["slice", "bits"])
-
-    marked = docs.select("text").mapInArrow(mark, "slice int, once binary, twice binary")
-    table = np.zeros((1 << settings.filter_bits) // 8, np.uint8)
-    for row in marked.groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():  # the filter: of fixed size
-        part = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
-        table[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
-    return SharedTokens(table, slot_bits, slice_bits)
-
-
-def index_lines(docs: DataFrame, table: SharedTokens, settings: LineSettings) -> DataFrame:
+        packed = []
+        for k, wide in enumerate(part_bits):
+            bits = np.zeros(1 << wide, bool)
+            for place in TokenClasses.places(slots[count >= 2 * 4**k] + head - np.uint64(1), wide):
+                bits[place.astype(np.int64)] = True
+            packed.append(zstandard.ZstdCompressor(1).compress(np.packbits(bits, bitorder="little").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.list_(pa.binary()))], names=["slice", "bits"])
+
+    marked = docs.select("text").mapInArrow(mark, "slice int, seen binary, again binary, more binary")
+    filters = [np.zeros((1 << wide + slice_bits) // 8, np.uint8) for wide in part_bits]
+    for row in marked.groupBy("slice").applyInArrow(merge, "slice int, bits array<binary>").collect():  # filters of fixed size
+        for table, packed in zip(filters, row["bits"]):
+            part = np.frombuffer(zstandard.decompress(packed), np.uint8)
+            table[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
+    return TokenClasses(filters, slot_bits, slice_bits)
+
+
+def index_lines(docs: DataFrame, classes: TokenClasses, settings: LineSettings) -> DataFrame:
     """(doc, line, low, high, size, alone, sketch, prefix) of every line that may match another; prefix: (word, place) of its
     rarest tokens without those seen once; alone: some token was seen once, so that no other line is equal."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,22 +274,23 @@ def index_lines(docs: DataFrame, table: SharedTokens, settings: LineSettings) ->
                     continue
                 starts = _starts(line)
                 size = np.diff(np.append(starts, len(line)))
-                often = held.may_hold(token)
+                rarity = held.of(token)
+                often = rarity > 0
                 unique = size - np.add.reduceat(often, starts, dtype=np.int64)
                 prefix = size - -(-settings.percent * size // 100) + 1
                 # Lines with a whole prefix of tokens seen once match nothing.
                 stays = np.flatnonzero((unique == 0) | ((unique < prefix) & (unique < size)))
                 index = np.repeat(np.arange(len(stays)), size[stays])
                 places = np.repeat(starts[stays] - np.append(0, np.cumsum(size[stays]))[:-1], size[stays]) + np.arange(len(index))
-                token, often, which = token[places], often[places], line[starts[stays]]
+                token, rarity, which = token[places], rarity[places], line[starts[stays]]
                 size, unique, prefix = size[stays], unique[stays], prefix[stays]
                 if not len(stays):
                     continue
                 low, high = _class_hashes(token, np.append(0, np.cumsum(size))[:-1])
                 sketch = np.bitwise_or.reduceat(np.uint64(1) << (mix(token) >> np.uint64(58)), np.append(0, np.cumsum(size))[:-1]).view(np.int64)
-                # Tokens seen once fill the first places; of the others, by hash, those that still fall into the prefix.
-                kept = np.flatnonzero(often)
-                order = kept[np.lexsort((token[kept], index[kept]))]
+                # Tokens seen once fill the first places; of the others, by class and hash, those that still fall into the prefix.
+                kept = np.flatnonzero(rarity)
+                order = kept[np.lexsort((token[kept], rarity[kept], index[kept]))]
                 index = index[order]
                 count = np.bincount(index, minlength=len(stays))
                 position = np.arange(len(order)) - np.repeat(np.append(0, np.cumsum(count))[:-1], count) + unique[index]
@@ -392,7 +415,7 @@ def _later_in_clusters(ties: DataFrame, found: DataFrame, docs: DataFrame, class
 def duplicate_lines(docs: DataFrame, settings: LineSettings = LineSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of every line that an earlier line matches; doc is the id column's value and lines count from 0."""
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = cut(index_lines(docs, seen_twice(docs, settings), settings), "lines-index")
+    lines = cut(index_lines(docs, count_classes(docs, settings), settings), "lines-index")
     key = ["low", "high"]
     head = F.min(F.struct("doc", "line", "size", "sketch", "prefix")).alias("head")
     same = lines.where("not alone").groupBy(*key).agg(head, F.count("*").alias("n")).select(*key, "head.*", "n")

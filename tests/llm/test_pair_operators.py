@@ -1,15 +1,18 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from smoothspan.llm import containment, quote_links, registry, temporal_lists
+from smoothspan.llm.bytescan import text_buffers
 from smoothspan.llm.components import connected_components
 from smoothspan.llm.containment import contained_items, drop_contaminated
-from smoothspan.llm.line_join import LineSettings, drop_duplicate_lines, duplicate_lines, line_report
+from smoothspan.llm.line_join import LineSettings, _line_sets, count_classes, drop_duplicate_lines, duplicate_lines, line_report
 from smoothspan.llm.paragraph_iblt import IbltSettings, next_ids, recovered_differences, version_fingerprints
 from smoothspan.llm.quote_links import link_conversations
 from smoothspan.llm.super_minhash import MinHashSettings, keep_one_of_each, near_duplicates
@@ -118,6 +121,22 @@ def test_lines_of_near_copies(spark):
     assert got == brute.duplicate_lines(rows)
 
 
+def test_token_classes_follow_counts(spark, texts):
+    """Classes come from the counts over all documents; the few that collisions change are more common ones."""
+    texts = texts + [(10_000 + i, texts[i % 7][1]) for i in range(1500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+
+    def tokens(values):
+        raw, offsets = text_buffers(pa.array(values, pa.string()))
+        return _line_sets(raw, offsets, 5, False)[1]
+
+    token, count = np.unique(np.concatenate([tokens([t or ""]) for _, t in texts]), return_counts=True)
+    for settings in (LineSettings(), LineSettings(run_tokens=500)):
+        got = count_classes(docs, settings).of(token)
+        want = np.select([count >= 2 * 4**k for k in range(8, -1, -1)], range(9, 0, -1), 0)
+        assert (got >= want).all() and (got != want).mean() < 1e-3 and set(want) >= {0, 1, 4}
+
+
 def test_lines_of_odd_rows(odd, empty):
     out = drop_duplicate_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
