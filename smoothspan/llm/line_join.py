@@ -199,10 +199,9 @@ def count_classes(docs: DataFrame, settings: LineSettings) -> TokenClasses:
 
         def run(held: list[np.ndarray]) -> pa.RecordBatch:
             slots = np.sort(np.concatenate(held))
-            at = _starts(slots)
-            more = np.diff(np.append(at, len(slots))) - 1
-            slots = slots[at]
-            again, more = slots[more > 0], more[more > 0].astype("<u4")
+            new = np.append(True, slots[1:] != slots[:-1])
+            again, more = np.unique(slots[~new], return_counts=True)  # occurrences but the first
+            slots, more = slots[new], more.astype("<u4")
             cuts, ends = (np.append(np.searchsorted(x, heads), len(x)) for x in (slots, again))
             rows = [k for k in range(len(heads)) if cuts[k] < cuts[k + 1]]
             one = np.uint64(1)  # so that no run is the number 0 alone
@@ -235,11 +234,13 @@ def count_classes(docs: DataFrame, settings: LineSettings) -> TokenClasses:
             seen += [_unpack(x.as_py()) for x in batch.column(1)]
             again += [_unpack(x.as_py()) for x in batch.column(2)]
             more += [np.frombuffer(zstandard.decompress(x.as_py()), "<u4") for x in batch.column(3)]
-        slots = np.sort(np.concatenate(seen))
-        at = _starts(slots)
-        count = np.diff(np.append(at, len(slots)))
-        slots = slots[at]
-        np.add.at(count, np.searchsorted(slots, np.concatenate(again)), np.concatenate(more).astype(np.int64))
+        slots = np.concatenate(seen)
+        del seen
+        slots.sort()
+        same = slots[1:][slots[1:] == slots[:-1]]
+        # Only tokens seen more often are counted, so that little is held beside the slots.
+        slots, which = np.unique(np.concatenate([same, *again]), return_inverse=True)
+        count = 1 + np.bincount(which, np.concatenate([np.ones(len(same)), *more]), len(slots))
         head = np.uint64(key[0].as_py()) << np.uint64(slot_bits - slice_bits)
         packed = []
         for k, wide in enumerate(part_bits):
